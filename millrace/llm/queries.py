@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_rules, url_vocabulary, warc_revisit
+from . import adaptive_rules, length_packing, pairwise_quality, secret_crf, url_vocabulary, warc_revisit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,9 +118,31 @@ LEFT JOIN l_q ON coalesce(lang, '') = l_q.k_lang LEFT JOIN a_q ON true
 """
 
 
+def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = lambda c: F.crc32(c.cast("string")) % 4 == 2
+    scored = pairwise_quality.score_documents(docs, labels.filter(~held_out(F.col("doc_id"))).select("doc_id", "quality"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_crf.scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda s: s["kind"] != "crf")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(secret_crf.span_digest(base), 256).alias("base_sha256")
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), digest, secret_crf.span_digest(F.col("secrets")).alias("spans"))
+
+
 QUERIES = {
     "op2_warc_revisit": op2_warc_revisit,
     "op3_url_vocabulary": op3_url_vocabulary,
+    "op5_pairwise_quality": op5_pairwise_quality,
     "op6_adaptive_rules": op6_adaptive_rules,
+    "op8_length_packing": op8_length_packing,
+    "op9_secret_crf": op9_secret_crf,
 }
 ORACLES = {"op2_warc_revisit": SQL2, "op3_url_vocabulary": _sql3(), "op6_adaptive_rules": _sql6()}
