@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_rules, length_packing, pairwise_quality, secret_crf, url_vocabulary, warc_revisit
+from . import adaptive_rules, decontaminate, length_packing, pairwise_quality, secret_crf, url_vocabulary, warc_revisit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_revisit.deduplicate_archives(table(spark, sf_dir, "pages"))
     return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -138,6 +142,7 @@ def op9_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_warc_revisit": op2_warc_revisit,
     "op3_url_vocabulary": op3_url_vocabulary,
     "op5_pairwise_quality": op5_pairwise_quality,
