@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_rules, decontaminate, length_packing, pairwise_quality, secret_crf, url_vocabulary, warc_revisit
+from . import adaptive_rules, decontaminate, length_packing, minhash_bayes, pairwise_quality, secret_crf, url_vocabulary, warc_revisit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,6 +129,10 @@ def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_bayes.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -147,6 +151,7 @@ QUERIES = {
     "op3_url_vocabulary": op3_url_vocabulary,
     "op5_pairwise_quality": op5_pairwise_quality,
     "op6_adaptive_rules": op6_adaptive_rules,
+    "op7_minhash_bayes": op7_minhash_bayes,
     "op8_length_packing": op8_length_packing,
     "op9_secret_crf": op9_secret_crf,
 }
