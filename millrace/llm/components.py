@@ -9,13 +9,17 @@ from .storage import discard, materialize
 
 
 def dealt_anew(df: DataFrame, column: str, key: str = "join_key") -> DataFrame:
-    """``df`` with ``key``, a bijection of an id column.
+    """``df`` with ``key``, a bijection of an id column (a long, or else by its text).
 
     A join on it shuffles both sides for the join itself, so that adaptive
     execution may split a hot key; a side that is still dealt by a former
     aggregation could not be split.
     """
-    return df.withColumn(key, F.bitwise_not(F.col(column)))
+    return df.withColumn(key, key_of(df, column))
+
+
+def key_of(df: DataFrame, column: str):
+    return F.bitwise_not(F.col(column)) if dict(df.dtypes)[column] == "bigint" else F.concat(F.col(column).cast("string"), F.lit(""))
 
 
 def size_checked(df: DataFrame, limit: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_rules, decontaminate, length_packing, minhash_bayes, pairwise_quality, secret_crf, url_vocabulary, warc_revisit
+from . import adaptive_rules, decontaminate, fuzzy_lines, length_packing, minhash_bayes, pairwise_quality, secret_crf, url_vocabulary, warc_revisit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,6 +145,10 @@ def op9_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), digest, secret_crf.span_digest(F.col("secrets")).alias("spans"))
 
 
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.drop_duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc_revisit": op2_warc_revisit,
@@ -154,5 +158,6 @@ QUERIES = {
     "op7_minhash_bayes": op7_minhash_bayes,
     "op8_length_packing": op8_length_packing,
     "op9_secret_crf": op9_secret_crf,
+    "op10_fuzzy_lines": op10_fuzzy_lines,
 }
 ORACLES = {"op2_warc_revisit": SQL2, "op3_url_vocabulary": _sql3(), "op6_adaptive_rules": _sql6()}
