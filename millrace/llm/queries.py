@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_rules, decontaminate, fuzzy_lines, length_packing, minhash_bayes, pairwise_quality, secret_crf, url_vocabulary, warc_revisit
+from . import adaptive_rules, decontaminate, fuzzy_lines, length_packing, minhash_bayes, pairwise_quality, secret_crf, suffix_dedup, url_vocabulary, warc_revisit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,6 +122,10 @@ LEFT JOIN l_q ON coalesce(lang, '') = l_q.k_lang LEFT JOIN a_q ON true
 """
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = lambda c: F.crc32(c.cast("string")) % 4 == 2
@@ -153,6 +157,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc_revisit": op2_warc_revisit,
     "op3_url_vocabulary": op3_url_vocabulary,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_pairwise_quality": op5_pairwise_quality,
     "op6_adaptive_rules": op6_adaptive_rules,
     "op7_minhash_bayes": op7_minhash_bayes,
