@@ -8,8 +8,9 @@
    ``miss``. Survivors are confirmed on their full shingle sets.
 3. Connected components of the confirmed links.
 4. Buckets that still hold several components compare the other pairs across
-   components in the same way; buckets above ``block`` members do so block
-   against block, in tasks of their own. Links found there join components.
+   components in the same way, likeliest first, until they are joined; buckets
+   above ``block`` members do so block against block, in tasks of their own.
+   Only links that join components leave a task.
 
 Pairs inside one component need no comparison, so no link that changes the
 result is lost but by the banding (about 5e-6 at the threshold) and ``miss``.
@@ -219,44 +220,95 @@ def _confirm(pairs: DataFrame, signed: DataFrame, percent: int, miss: float) ->
     return both.select("a", "b", "sig_a", "sig_b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Plausible pairs (a, b) of different components within each group of rows.
+def _groups(batches, columns):
+    """(group, lists of columns) of consecutive rows with equal ``group``."""
+    held, key = [[] for _ in columns], None
+    for batch in batches:
+        data = batch.to_pydict()
+        for group, *row in zip(data["group"], *(data[c] for c in columns)):
+            if held[0] and group != key:
+                yield key, held
+                held = [[] for _ in columns]
+            key = group
+            for h, x in zip(held, row):
+                h.append(x)
+    if held[0]:
+        yield key, held
 
-    members: group, part (0 or 1), id, component, n, sig. In a group with parts, only pairs between the parts count.
-    """
 
-    def pairs_of(ids, comps, sizes, sigs, parts):
-        for i in range(len(ids) - 1):
-            rest = np.arange(i + 1, len(ids))
-            rest = rest[comps[rest] != comps[i]]
-            small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-            rest = rest[small >= threshold * large - 1e-9]
-            if parts.any():
-                rest = rest[parts[rest] != parts[i]]
-            if len(rest):
-                for k in plausible(np.broadcast_to(sigs[i], (len(rest), HASHES)), sigs[rest], threshold, miss):
-                    a, b = int(ids[i]), int(ids[rest[k]])
-                    yield (min(a, b), max(a, b))
+class _Group:
+    """One bucket, or one pair of blocks of a large one: which rows are still to be compared with row i."""
 
-    def run(batches):
-        held, key = [], None
+    def __init__(self, ids, parts, comps, sizes, sigs, threshold: float, miss: float):
+        self.ids, self.parts, self.comps, self.sizes = map(np.array, (ids, parts, comps, sizes))
+        self.sigs = np.stack([np.frombuffer(s, np.uint32) for s in sigs])
+        self.threshold, self.miss, self.split = threshold, miss, bool(self.parts.any())
 
-        def flush():
-            found = set(pairs_of(*(np.array([r[j] for r in held]) for j in (0, 1, 2)), np.stack([np.frombuffer(r[3], np.uint32) for r in held]), np.array([r[4] for r in held])))
-            return pa.RecordBatch.from_arrays([pa.array([p[j] for p in found], pa.int64()) for j in (0, 1)], ["a", "b"])
+    def partners(self, i: int) -> np.ndarray:
+        """Later rows of other components whose size and signature allow the threshold, likeliest first."""
+        rest = np.arange(i + 1, len(self.ids))
+        rest = rest[self.comps[rest] != self.comps[i]]
+        small, large = np.minimum(self.sizes[rest], self.sizes[i]), np.maximum(self.sizes[rest], self.sizes[i])
+        rest = rest[small >= self.threshold * large - 1e-9]
+        if self.split:
+            rest = rest[self.parts[rest] != self.parts[i]]
+        if len(rest):
+            rest = rest[plausible(np.broadcast_to(self.sigs[i], (len(rest), HASHES)), self.sigs[rest], self.threshold, self.miss)]
+            rest = rest[np.argsort(-(self.sigs[rest] == self.sigs[i]).sum(1), kind="stable")]
+        return rest
+
+    def join(self, i: int, j: int) -> None:
+        self.comps[self.comps == self.comps[j]] = self.comps[i]
 
-        for batch in batches:
-            columns = batch.to_pydict()
-            for group, part, doc, comp, n, sig in zip(*(columns[c] for c in ("group", "part", "id", "component", "n", "sig"))):
-                if held and group != key:
-                    yield flush()
-                    held = []
-                key = group
-                held.append((doc, comp, n, sig, part))
-        if held:
-            yield flush()
 
-    return members.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long").distinct()
+MEMBER = ["part", "id", "component", "n", "sig"]
+
+
+def _with_partners(members: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """The rows (group, part, id, component) that have a plausible partner in another component of their group."""
+
+    def run(batches):
+        for key, held in _groups(batches, MEMBER):
+            ids, parts, comps, sizes, sigs = held[1], held[0], held[2], held[3], held[4]
+            group = _Group(ids, parts, comps, sizes, sigs, threshold, miss)
+            seen = set()
+            for i in range(len(ids) - 1):
+                if len(found := group.partners(i)):
+                    seen.update([i, *found.tolist()])
+            rows = [(key, parts[k], ids[k], comps[k]) for k in sorted(seen)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["group", "part", "id", "component"])
+
+    dealt = members.select("group", *MEMBER).repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(run, "group long, part int, id long, component long")
+
+
+def _joining_links(members: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links (a, b), confirmed on full sets, that join the components of each group: fewer than it has rows.
+
+    Rows are compared until they are joined, so a group that is one component
+    in the end needs few comparisons, and no pairs leave the task but links.
+    """
+
+    def run(batches):
+        for _, held in _groups(batches, [*MEMBER, "text"]):
+            ids, texts = held[1], held[5]
+            group = _Group(ids, held[0], held[2], held[3], held[4], percent / 100, miss)
+            sets: dict[int, set] = {}
+            full = lambda k: sets[k] if k in sets else sets.setdefault(k, exact_set(texts[k]))
+            links = []
+            for i in range(len(ids) - 1):
+                for j in group.partners(i).tolist():
+                    if group.comps[i] != group.comps[j]:
+                        shared = len(full(i) & full(j))
+                        if 100 * shared >= percent * (len(full(i)) + len(full(j)) - shared):
+                            links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                            group.join(i, j)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
+    dealt = members.select("group", *MEMBER, "text").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -300,11 +352,20 @@ def near_duplicates(
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
     rest = rest.select(group.alias("group"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("part"), "id", "component", F.bitwise_not("id").alias("join_key"))
-    rest = rest.join(signed.select(F.bitwise_not("id").alias("join_key"), "n", "sig"), "join_key").select("group", "part", "id", "component", "n", "sig")
-    more = materialize(_confirm(materialize(_across(rest, percent / 100, miss), "across"), signed, percent, miss), "links")
+    sketch = signed.select(F.bitwise_not("id").alias("join_key"), "n", "sig")
+    open_ = materialize(_with_partners(rest.join(sketch, "join_key"), percent / 100, miss), "open")
+    whole = signed.select(F.bitwise_not("id").alias("join_key"), "n", "sig", "text")
+    more = materialize(_joining_links(dealt_anew(open_, "id").join(whole, "join_key"), percent, miss), "links")
     if more.limit(1).count():
         comps = connected_components(links.unionByName(more))
 
     final = dealt_anew(table, "rep").join(comps.select(F.bitwise_not("id").alias("join_key"), "component"), "join_key", "left")
     component = F.coalesce("component", "rep")
     return final.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, broadcast_ids: int = 1_000_000, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that open their component; rows without an id stay."""
+    found = materialize(near_duplicates(docs, broadcast_ids=broadcast_ids, id_col=id_col, **options).select("doc_id", "kept"), "near")
+    gone = size_checked(found.filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct(), broadcast_ids)
+    return docs.join(gone, docs[id_col].cast("long") == gone["gone_id"], "left_anti")
