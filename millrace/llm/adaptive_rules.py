@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import size_checked
 from .storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -174,3 +175,10 @@ def adaptive_verdict(
         fine = fine & F.coalesce(inside, F.lit(True))
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed"]
     return joined.select(*[measured[k] for k in keys], *out, (~F.col("base_failed") & fine).alias("kept"))
+
+
+def keep_passing(docs: DataFrame, broadcast_ids: int = 1_000_000, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` whose id no rejected row has; rows without an id stay."""
+    verdict = materialize(adaptive_verdict(docs, keys=(id_col,), **options).select(id_col, "kept"), "verdicts")
+    rejected = size_checked(verdict.filter("NOT kept").select(F.col(id_col).alias("rejected_id")).distinct(), broadcast_ids)
+    return docs.join(rejected, docs[id_col] == rejected["rejected_id"], "left_anti")
