@@ -695,7 +695,7 @@ def agg22_regression_scores(spark, d):
 
 
 @query(
-    f"""WITH s AS ({_SCORED}), g AS (SELECT k, round(0.1 + k * 0.01, 4) AS threshold FROM range(81) t(k)), c AS (SELECT threshold, count(*) FILTER (y = 1 AND floor((p - 0.1) / 0.01 + 1e-9) >= k) AS tp, count(*) FILTER (y = 0 AND floor((p - 0.1) / 0.01 + 1e-9) >= k) AS fp, count(*) FILTER (y = 1 AND floor((p - 0.1) / 0.01 + 1e-9) < k) AS fn, count(*) FILTER (y = 0 AND floor((p - 0.1) / 0.01 + 1e-9) < k) AS tn FROM s, g GROUP BY 1)
+    f"""WITH s AS ({_SCORED}), g AS (SELECT k, CAST(round(0.1 + k * 0.01, 4) AS DOUBLE) AS threshold FROM range(81) t(k)), c AS (SELECT threshold, count(*) FILTER (y = 1 AND floor((p - 0.1) / 0.01 + 1e-9) >= k) AS tp, count(*) FILTER (y = 0 AND floor((p - 0.1) / 0.01 + 1e-9) >= k) AS fp, count(*) FILTER (y = 1 AND floor((p - 0.1) / 0.01 + 1e-9) < k) AS fn, count(*) FILTER (y = 0 AND floor((p - 0.1) / 0.01 + 1e-9) < k) AS tn FROM s, g GROUP BY 1)
 SELECT threshold, round((coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2.0 * tn / nullif(2 * tn + fn + fp, 0), 0)) / 2, 6) AS macro_f1 FROM c"""
 )
 def ml18_threshold_grid(spark, d):
@@ -790,7 +790,7 @@ def agg10_jn8_regional_quantiles(spark, d):
     return market.regional_quantiles(values, _centers(spark, d), "region", "kind", "value", most_km=2500.0, least_n=3)
 
 
-@query("SELECT n_nationkey, round(6.0 * (1 + n_nationkey % 3), 6) AS area FROM nation")
+@query("SELECT n_nationkey, CAST(round(6 * (1 + n_nationkey % 3), 6) AS DOUBLE) AS area FROM nation")
 def geo_ring_area(spark, d):
     k = (1 + F.col("n_nationkey") % 3).cast("double")
     point = lambda x, y: F.array(x, y)
