@@ -369,3 +369,11 @@ def test_fuzzy_lines(spark, crowd):
         assert (r["n_lines"], r["n_removed"]) == (len(parts), sum((r["doc_id"], i) in gone for i in range(len(parts))))
     assert got.count() == len(rows)
     assert fuzzy_lines.drop_duplicate_lines(frame(spark, [])).count() == 0
+
+
+def test_merging_components(spark):
+    links = [(1, 2), (2, 3), (10, 11), (20, 21), (20, 22)]
+    more = [(3, 11), (22, 30), (40, 41), (2, 1)]
+    as_df = lambda e: spark.createDataFrame(e, "a long, b long")
+    got = components.merge_components(components.connected_components(as_df(links)), as_df(more))
+    assert {r["id"]: r["component"] for r in got.collect()} == union(links + more, {n for e in links + more for n in e})
