@@ -16,8 +16,8 @@ Pairs inside one component need no comparison, so no link that changes the
 result is lost but by the banding (about 5e-6 at the threshold) and ``miss``.
 
 Defined results: null or empty texts have no shingles, are linked with nothing
-and are kept; rows that repeat a doc_id share its component and are all kept
-or all dropped; an empty table gives no rows.
+and are kept; so are rows without an id; rows that repeat a doc_id share its
+component and are all kept or all dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, dealt_anew, size_checked
+from .components import connected_components, dealt_anew, merge_components, size_checked
 from .storage import materialize
 
 WIDTH, BANDS, ROWS = 5, 32, 4
@@ -357,11 +357,11 @@ def near_duplicates(
     whole = signed.select(F.bitwise_not("id").alias("join_key"), "n", "sig", "text")
     more = materialize(_joining_links(dealt_anew(open_, "id").join(whole, "join_key"), percent, miss), "links")
     if more.limit(1).count():
-        comps = connected_components(links.unionByName(more))
+        comps = merge_components(comps, more)
 
     final = dealt_anew(table, "rep").join(comps.select(F.bitwise_not("id").alias("join_key"), "component"), "join_key", "left")
-    component = F.coalesce("component", "rep")
-    return final.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
+    return final.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, broadcast_ids: int = 1_000_000, id_col: str = "doc_id", **options) -> DataFrame:

@@ -377,3 +377,37 @@ def test_merging_components(spark):
     as_df = lambda e: spark.createDataFrame(e, "a long, b long")
     got = components.merge_components(components.connected_components(as_df(links)), as_df(more))
     assert {r["id"]: r["component"] for r in got.collect()} == union(links + more, {n for e in links + more for n in e})
+
+
+# ---- rows without ids, and texts longer than a buffer
+
+
+def test_rows_without_ids(spark):
+    rows = documents()[:12] + [(None, documents()[0][1]), (None, "some text of its own that no other document of this table holds at all"), (None, None)]
+    docs, n = frame(spark, rows), len(rows)
+    bench = spark.createDataFrame([(None, "an item without an id that is long enough to be searched for"), (1, None)], "item_id long, text string")
+    assert decontaminate.find_contamination(docs, bench).count() == 0
+    assert decontaminate.drop_contaminated(docs, bench).count() == n
+    cut = suffix_dedup.remove_repeats(docs).filter("doc_id IS NULL").collect()
+    assert len(cut) == 3 and {r["n_removed"] for r in cut} == {0}
+    labels = spark.createDataFrame([(d, i % 2) for i, (d, _) in enumerate(rows) if d], "doc_id long, quality int")
+    assert pairwise_quality.score_documents(docs, labels).count() == n
+    assert adaptive_rules.adaptive_verdict(docs).count() == n and adaptive_rules.keep_passing(docs).filter("doc_id IS NULL").count() == 3
+    near = minhash_bayes.near_duplicates(docs).filter("doc_id IS NULL").collect()
+    assert [(r["component_id"], r["kept"]) for r in near] == [(None, True)] * 3
+    assert minhash_bayes.keep_one(docs).filter("doc_id IS NULL").count() == 3
+    assert length_packing.pack_documents(docs).filter("doc_id IS NULL").count() == 3
+    assert secret_crf.scan_secrets(docs).count() == n
+    assert fuzzy_lines.drop_duplicate_lines(docs).filter("doc_id IS NULL AND n_removed = 0").count() == 3
+
+
+def test_text_longer_than_a_buffer(spark):
+    rng = np.random.default_rng(8)
+    letters = lambda n: rng.integers(97, 123, n, np.uint8).tobytes().decode()
+    first = letters(suffix_dedup.BUFFER + 300_000)
+    part = first[1000 : suffix_dedup.BUFFER + 200_000]
+    docs = spark.createDataFrame([(1, first), (2, letters(500) + part + letters(700))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got[1] == (0, 0) and got[2][1] == 1 and len(part) <= got[2][0] <= len(part) + 8  # chance may agree on a few letters more
+    near = minhash_bayes.near_duplicates(docs).collect()
+    assert {r["n_shingles"] for r in near} == {1}
