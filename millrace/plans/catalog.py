@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import numeric, parse, text
 from millrace.operators import aggregates, cleaning, cohort, compare, filters, geo, joins, market, metrics, ordering, profiling, sampling, scoring, sets, textrules, timeseries, windows
+from millrace.plans import products
+from millrace.sources import sinks
+from millrace.streaming import feed
 
 FLAGSHIP = "agg4_grouping_sets"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -796,3 +800,192 @@ def geo_ring_area(spark, d):
     point = lambda x, y: F.array(x, y)
     ring = F.array(point(F.lit(0.0), F.lit(0.0)), point(k * 3, F.lit(0.0)), point(k * 3, F.lit(2.0)), point(F.lit(0.0), F.lit(2.0)), point(F.lit(0.0), F.lit(0.0)))
     return table(spark, d, "nation").filter(geo.valid_ring(ring)).select("n_nationkey", F.round(geo.signed_area(ring), 6).alias("area"))
+
+
+# ---- more parsers, filters and scores
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 2) AS v FROM orders")
+def cln8_symbol_number(spark, d):
+    s = F.concat(F.lit(" $ "), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" %"))
+    return table(spark, d, "orders").select("o_orderkey", F.round(parse.symbol_number(s), 2).alias("v"))
+
+
+@query("SELECT o_orderkey, c / 100.0::DOUBLE AS as_comma, CASE WHEN o_orderkey % 2 = 0 THEN c / 100.0::DOUBLE END AS as_dot FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders)")
+def cln14_convention_number(spark, d):
+    c = F.round(F.col("o_totalprice") * 100).cast("long")
+    part = lambda sep: F.concat(F.floor(c / 100).cast("string"), F.lit(sep), F.lpad((c % 100).cast("string"), 2, "0"))
+    mixed = F.when(F.col("o_orderkey") % 2 == 0, part(".")).otherwise(part(","))
+    return table(spark, d, "orders").select("o_orderkey", parse.convention_number(part(","), "decimal_comma").alias("as_comma"), parse.convention_number(mixed, "decimal_dot").alias("as_dot"))
+
+
+@query("SELECT o_orderkey, CAST(c AS DOUBLE) * 1e7 AS money, CAST(o_orderkey % 900 + 10 AS DOUBLE) AS area FROM (SELECT o_orderkey, CAST(floor(o_totalprice / 1000) AS BIGINT) AS c FROM orders)")
+def cln16_vn_money(spark, d):
+    c = F.floor(F.col("o_totalprice") / 1000)
+    s = F.concat(F.floor(c / 100).cast("string"), F.lit(","), F.lpad((c % 100).cast("string"), 2, "0"), F.lit(" tỷ"))
+    area = F.concat((F.col("o_orderkey") % 900 + 10).cast("string"), F.lit(" m²"))
+    return table(spark, d, "orders").select("o_orderkey", F.round(parse.vn_money(s), 0).alias("money"), parse.vn_area(area).alias("area"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity * l_tax / 1.27, 8) AS amount FROM lineitem")
+def cln26_line_amount(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(numeric.line_amount(F.col("l_quantity"), F.col("l_tax"), 1.27), 8).alias("amount"))
+
+
+@query("SELECT count(*) FILTER (o_orderdate < TIMESTAMP '2000-01-01') AS before, count(*) FILTER (o_orderdate < TIMESTAMP '2000-01-01' AND o_orderdate >= TIMESTAMP '2000-01-01' - INTERVAL 90 DAY) AS recent FROM orders")
+def flt9_snapshot(spark, d):
+    at = F.lit("2000-01-01").cast("timestamp")
+    return table(spark, d, "orders").agg(F.count_if(filters.between_snapshot(F.col("o_orderdate"), at)).alias("before"), F.count_if(filters.between_snapshot(F.col("o_orderdate"), at, 90)).alias("recent"))
+
+
+def _feed(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(
+        F.when(k % 50 != 0, k.cast("string")).alias("listing_id"), F.when(k % 11 == 0, "RENT").otherwise("SALE").alias("transaction_type"), F.when(k % 13 == 0, "USD").otherwise("VND").alias("currency"), F.lit("m2").alias("area_unit"),
+        F.when(k % 17 != 0, F.col("o_totalprice")).alias("total_price_vnd"), (k % 7).cast("double").alias("area_m2"), F.col("o_orderstatus").alias("province"), F.when(k % 4 == 0, "").otherwise(F.col("o_orderpriority")).alias("area_name"), F.lit("house").alias("property_type"), F.col("o_orderdate").alias("date"),
+    )
+
+
+@query("SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'missing_id' WHEN o_orderkey % 11 = 0 THEN 'transaction_type' WHEN o_orderkey % 13 = 0 THEN 'currency' WHEN o_orderkey % 17 = 0 THEN 'price' WHEN o_orderkey % 7 = 0 THEN 'area' WHEN o_orderdate > TIMESTAMP '2000-06-01' THEN 'date' ELSE 'kept' END AS reason, count(*) AS n FROM orders GROUP BY 1")
+def flt6_feed_validator(spark, d):
+    return filters.funnel_counts(_feed(spark, d), feed.feed_reasons("2000-06-01"))
+
+
+@query("SELECT province, area_name, '' AS property_type, count(*) AS n, round(quantile_cont(p, 0.5), 4) AS median FROM (SELECT o_orderstatus AS province, o_orderpriority AS area_name, o_totalprice / (o_orderkey % 7) AS p, o_orderkey % 4 = 0 AS blank FROM orders WHERE o_orderkey % 50 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 7 <> 0 AND o_orderdate <= TIMESTAMP '2000-06-01') WHERE NOT blank GROUP BY ALL HAVING count(*) >= 5")
+def agg7_market_feed_stats(spark, d):
+    stats = feed.market_stats(feed.valid_records(_feed(spark, d), now="2000-06-01"))
+    return stats.filter("area_name <> '' AND property_type = ''").select("province", "area_name", "property_type", "n", F.round("median", 4).alias("median"))
+
+
+@query("(SELECT 'price' AS metric, l_extendedprice AS value, l_orderkey, l_linenumber FROM lineitem ORDER BY 2, 3, 4 LIMIT 5)")
+def ord3_smallest(spark, d):
+    return ordering.extremes(table(spark, d, "lineitem"), {"price": F.col("l_extendedprice")}, ["l_orderkey", "l_linenumber"], largest=False)
+
+
+@query("SELECT c_mktsegment, CAST(row_number() OVER (ORDER BY avg(c_acctbal) DESC, c_mktsegment) AS INT) AS rank FROM customer GROUP BY 1")
+def win7_rank_rows(spark, d):
+    g = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("v"))
+    return windows.rank_rows(g, F.desc("v"), F.col("c_mktsegment")).select("c_mktsegment", "rank")
+
+
+@query("SELECT o_orderstatus, arg_min(o_totalprice, o_orderkey) AS first_price, arg_max(o_totalprice, o_orderkey) AS last_price, max(o_orderdate) AS latest FROM orders GROUP BY 1")
+def agg34_first_last(spark, d):
+    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.min_by("o_totalprice", "o_orderkey").alias("first_price"), F.max_by("o_totalprice", "o_orderkey").alias("last_price"), F.max("o_orderdate").alias("latest"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def st1_windowed_counts(spark, d):
+    out = feed.windowed_counts(table(spark, d, "events"), "ts", "event_type", "value")
+    return out.select("event_type", F.col("window.start").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query(f"{_HOURS}, m AS (SELECT max(t) AS m FROM x) SELECT CAST(s AS INT) AS step, round(x.y, 4) AS prediction FROM range(1, 31) k(s), m, x WHERE x.t = m - (23 - (s - 1) % 24)")
+def ts11_seasonal_naive(spark, d):
+    future = spark.range(1, 31).select(F.col("id").cast("int").alias("step"))
+    return timeseries.naive(_hourly(spark, d), future, 24).withColumn("prediction", F.round("prediction", 4))
+
+
+@query("SELECT CAST(s AS INT) AS step, TIMESTAMP '2001-08-01' + to_months(CAST(s AS INT)) AS period FROM range(1, 13) t(s)")
+def ts17_future_calendar(spark, d):
+    return timeseries.future_calendar(spark, datetime(2001, 8, 1), "monthly", 12)
+
+
+@query("SELECT 'hourly' AS frequency, count(*) AS n FROM (SELECT DISTINCT date_trunc('hour', ts) FROM events)")
+def ts1_infer_frequency(spark, d):
+    hours = table(spark, d, "events").select(F.date_trunc("hour", "ts").alias("h")).distinct()
+    return hours.agg(F.count(F.lit(1)).alias("n")).select(F.lit(timeseries.infer_frequency(hours, "h")["frequency"]).alias("frequency"), "n")
+
+
+@query(f"SELECT o_orderkey, round(p * 1000) / 10 AS yes, (1000 - round(p * 1000)) / 10 AS no FROM (SELECT o_orderkey, round(p, 6) AS p FROM ({_SCORED}))")
+def ml16_complement_percent(spark, d):
+    yes, no = numeric.complement_percent(F.round("p", 6))
+    return _scored(spark, d).select("o_orderkey", yes.alias("yes"), no.alias("no"))
+
+
+@query(
+    """SELECT o_orderkey, round(CASE WHEN low THEN -0.6 ELSE 0.3 END, 8) AS c_price, round(CASE WHEN low THEN 0.0 WHEN early THEN -0.2 ELSE 0.4 END, 8) AS c_month FROM (SELECT o_orderkey, CAST(o_totalprice / 1e6 AS FLOAT) <= CAST(0.25 AS FLOAT) AS low, CAST(month(o_orderdate) / 10.0 - 0.7 AS FLOAT) <= CAST(-0.1 AS FLOAT) AS early FROM orders)"""
+)
+def ml12_tree_contributions(spark, d):
+    c = scoring.tree_contributions(_TREE, [F.col("o_totalprice") / 1e6, F.month("o_orderdate") / 10.0 - 0.7], ["price", "month"])
+    return table(spark, d, "orders").select("o_orderkey", *[F.round(v, 8).cast("double").alias(f"c_{k}") for k, v in c.items()])
+
+
+@query("SELECT p_partkey, round(p_size * 900.5, 4) AS low, round(p_size * 1000.25, 4) AS value, round(p_size * 1100.75, 4) AS high FROM part")
+def ml23_market_estimate(spark, d):
+    e = market.estimate(F.col("p_size"), F.lit(900.5), F.lit(1000.25), F.lit(1100.75))
+    return table(spark, d, "part").select("p_partkey", *[F.round(v, 4).alias(k) for k, v in e.items()])
+
+
+@query()
+def ml22_shapley(spark, d):
+    parts = {"price": F.col("o_totalprice") / 1e6, "month": F.month("o_orderdate") / 12.0, "open": (F.col("o_orderstatus") == "O").cast("double")}
+    values = scoring.shapley(list(parts), lambda s: numeric.sigmoid(sum((parts[k] for k in sorted(s)), F.lit(-1.0))))
+    return table(spark, d, "orders").select("o_orderkey", *[F.round(v, 8).alias(k) for k, v in values.items()])
+
+
+@query()
+def ml17_calibrators(spark, d):
+    rows = _scored(spark, d)
+    slope, intercept = scoring.calibrate_sigmoid(rows.withColumn("m", F.log(F.col("p") / (1 - F.col("p")))), "m", "y")
+    beta = scoring.calibrate_beta(rows, "p", "y")
+    return spark.createDataFrame([("sigmoid", slope, intercept), ("beta", beta["a"], beta["c"])], "kind string, slope double, intercept double")
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER (regexp_matches(t, '{textrules.SALE}') AND NOT regexp_matches(t, '{textrules.RENT}') AND NOT regexp_matches(t, '{textrules.WANTED}')) AS strict FROM (SELECT {_FOLDED.format(c='title')} AS t FROM {_LISTING_SQL})")
+def txt3_strict_sale(spark, d):
+    return _listings(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(textrules.strict_sale(F.col("title"))).alias("strict"))
+
+
+@query()
+def txt10_property_type(spark, d):
+    return _listings(spark, d).select(textrules.property_type(F.concat_ws(". ", "title", "description")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'x' AS fold_check, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events)")
+def set2_distinct(spark, d):
+    return sets.distinct(table(spark, d, "events"), "user_id", "event_type").agg(F.lit("x").alias("fold_check"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE round(o_totalprice, 2) END AS v FROM orders")
+def snk5_finite_or_null(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(float("nan"))).otherwise(F.round("o_totalprice", 2)).alias("v"))
+    return sinks.finite_or_null(rows)
+
+
+@query()
+def smp12_envelope(spark, d):
+    return sampling.envelope(_hourly(spark, d), "t", "y", 100)
+
+
+@query()
+def smp8_group_split(spark, d):
+    return sampling.group_split(table(spark, d, "orders"), ["o_custkey"]).select("o_orderkey", "is_test")
+
+
+# ---- product flows
+
+
+@query("SELECT event_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) GROUP BY 1")
+def p1_analyze_table(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type"), F.col("event_id").cast("string").alias("id"), F.col("value").cast("string").alias("value"))
+    return products.analyze_table(e)["table"].groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def p3_forecast_sales(spark, d):
+    return products.forecast_sales(_hourly(spark, d), "hourly", 24, floor_at_zero=True)["forecast"]
+
+
+@query("WITH t AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderdate AS ts FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01') SELECT CAST(c AS VARCHAR) AS customer, CAST(floor(epoch(TIMESTAMP '2000-01-01' - max(ts)) / 86400) AS BIGINT) AS recency_days, count(DISTINCT k) FILTER (ts >= TIMESTAMP '2000-01-01' - INTERVAL 90 DAY) AS orders_90d FROM t GROUP BY c")
+def p4_customer_features(spark, d):
+    o = table(spark, d, "orders")
+    raw = o.select(F.col("o_custkey").cast("string").alias("customer"), F.col("o_orderkey").cast("string").alias("order"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.lit("1").alias("quantity"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("value"), F.lit("VN").alias("country"), F.col("o_orderpriority").alias("product"))
+    tx, _ = products.prepare_transactions(raw)
+    return products.customer_features(tx, F.lit("2000-01-01")).select("customer", "recency_days", "orders_90d")
+
+
+@query(f"SELECT o_orderkey, round(1 / (1 + exp(-(-0.4 + 0.8 * (coalesce(x, 240000.0) - 250000.0) / 140000.0))), 8) AS risk FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE round(o_totalprice, 2) END AS x FROM orders)")
+def p6_health_risk(spark, d):
+    model = {"intercept": -0.4, "features": {"x": _LOGIT["features"]["o_totalprice"]}}
+    raw = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, "?").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("x"))
+    return products.health_risk(raw, model).select("o_orderkey", F.round("risk", 8).alias("risk"))
