@@ -488,7 +488,7 @@ def smp5_stratified_split(spark, d):
     return sampling.stratified_split(table(spark, d, "orders"), "o_orderpriority", F.col("o_orderkey")).select("o_orderkey", "is_test")
 
 
-@query()
+@query("SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42|' || CAST(o_orderkey AS VARCHAR))) - 1) % 5 AS INT) AS fold FROM orders")
 def smp7_folds(spark, d):
     return sampling.folds(table(spark, d, "orders"), F.col("o_orderkey"), 5, "o_orderstatus").select("o_orderkey", "fold")
 

@@ -320,3 +320,50 @@ def test_geojson_and_rows(spark, tmp_path):
     assert sorted(r["code"] for r in files.read_geojson(spark, str(tmp_path / "g.json")).collect()) == ["1", "2", "2"]
     spark.range(5).coalesce(1).write.parquet(str(tmp_path / "p"))
     assert [r["_row"] for r in files.read_parquet(spark, str(tmp_path / "p")).orderBy("id").collect()] == list(range(5))
+
+
+def test_key_order_and_positive_numbers(spark):
+    df = spark.createDataFrame([("b", 1), ("10", 2), ("2", 3), ("a", 4), ("01", 5)], "k string, r int")
+    assert [r["k"] for r in aggregates.by_key_order(df, "k", "r").collect()] == ["2", "10", "b", "a", "01"]
+    assert values(spark, lambda c: parse.positive_number(c, 20, whole=True), [3.0, 2.5, -1.0, 21.0, float("nan"), None], "double") == [3.0, None, None, None, None, None]
+
+
+def test_samples_repeat(spark):
+    df = spark.range(500)
+    a = sorted(r["id"] for r in sampling.hashed_sample(df, F.col("id"), 40).collect())
+    assert len(a) == 40 and a == sorted(r["id"] for r in sampling.hashed_sample(df.repartition(7), F.col("id"), 40).collect())
+    assert {r["fold"] for r in sampling.time_folds(df.withColumn("t", F.col("id") % 50), "t", 4).collect()} == set(range(5))
+
+
+def test_rule_precision_against_reviews(spark):
+    rules = spark.createDataFrame([(i, "SALE") for i in range(10)], "id int, rule_label string")
+    reviews = spark.createDataFrame([(i, "SALE" if i < 8 else "RENT") for i in range(10)], "id int, review_label string")
+    r = textrules.rule_precision(rules, reviews, "id").first()
+    assert (r["n"], r["hits"], r["precision"]) == (10, 8, 0.8) and r["low"] < 0.8 < r["high"]
+
+
+def test_thresholds_and_choice(spark):
+    df = spark.createDataFrame([(int(i >= 60), i / 100) for i in range(100)], "y int, p double")
+    best = metrics.best_threshold(metrics.threshold_grid(df, "y", "p")).first()
+    assert abs(best["threshold"] - 0.6) < 0.011 and best["macro_f1"] == 1.0
+    records = [{"name": "a", "roc_auc": 0.8, "macro_f1": 0.7, "ece": 0.2}, {"name": "b", "roc_auc": 0.7, "macro_f1": 0.65, "ece": 0.05}]
+    assert scoring.choose_model(records, {"roc_auc": 0.65, "macro_f1": 0.6, "ece": 0.1})["name"] == "b"
+    assert scoring.choose_model(records, {"roc_auc": 0.9, "macro_f1": 0.6, "ece": 0.1}) is None
+
+
+def test_action_plan(spark):
+    mode, priority = scoring.action_plan(F.lit(0.3), F.lit(0.1), F.lit(9), F.lit(2), F.lit(10))
+    assert tuple(spark.range(1).select(mode, priority).first()) == ("retention", "reactivation")
+
+
+def test_display(spark):
+    assert values(spark, text.vnd_display, [2.5e9, 3e6, 1200.0], "double") == ["2.50 tỷ", "3.0 triệu", "1,200"]
+    assert values(spark, text.six_digits, [1234567.0, 0.00012345678, 0.0], "double") == [1234570.0, 0.000123457, 0.0]
+    assert values(spark, text.slug, ["Hà Nội – Đông Anh"]) == ["ha-noi-dong-anh"]
+
+
+def test_model_comparison_ranks_before_the_holdout(spark):
+    df = spark.createDataFrame([(i, (i * 37 % 100) / 100, "ab"[i % 2], int((i * 37 % 100) > 50)) for i in range(200)], "k int, x double, c string, y int")
+    found = compare.compare_models(df, "y", ["x"], ["c"], "k", names=["Logistic Regression", "Decision Tree"])
+    assert [r["rank"] for r in found] == [1, 2] and found[0]["cv_score"] >= found[1]["cv_score"] > 0.8
+    assert found[0]["importances"][0][0] == "x"
