@@ -33,29 +33,40 @@ def _with_minimum(pairs: DataFrame, minimum) -> DataFrame:
     return dealt_anew(pairs, "u").join(mins, "join_key").select("u", "v", "m")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.hash("v", "u").cast("long"))).first())
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """True if every u has one v and no v is a u itself: then each v is the root of its component."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").limit(1).count()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id in ``edges``; the component is its smallest id.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014). Each
-    round is written to the shared folder and read again. Self-loops and null
-    ends are ignored; without edges the result is empty.
+    Alternating large-star and small-star steps (Kiveris et al., 2014) until
+    only stars are left. Each round is written to the shared folder and read
+    again. Self-loops and null ends are ignored; without edges the result is empty.
     """
     high, low = F.greatest(a, b), F.least(a, b)
     now = materialize(edges.filter(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")).distinct(), "edges")
-    before = None
-    while (mark := _mark(now)) != before and mark[0]:
-        before = mark
+    while not _is_forest_of_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_minimum(both, F.least(F.min("v"), F.first("u"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large-star")
         small = _with_minimum(large, F.min("v"))
-        moved = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = materialize(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(now, large)
+        # every edge (u, v) becomes (v, m), and (u, m) joins them
+        ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        new = materialize(small.select(ends.alias("e")).select("e.*").filter("u <> v").distinct(), "edges")
+        discard(now)
         now = new
     roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return materialize(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), "components")
+
+
+def merge_components(components: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after adding ``links`` (a, b): only the graph between components is walked again."""
+    label = lambda df, c: dealt_anew(df, c, "k").join(components.select(F.bitwise_not("id").alias("k"), "component"), "k", "left").withColumn(c, F.coalesce("component", c)).drop("k", "component")
+    over = connected_components(materialize(label(label(links.select("a", "b"), "a"), "b"), "component-links"))
+    moved = dealt_anew(components, "component", "k").join(over.select(F.bitwise_not("id").alias("k"), F.col("component").alias("to")), "k", "left")
+    old = moved.select("id", F.coalesce("to", "component").alias("component"))
+    # ids that only the new links have
+    fresh = over.join(components.select(F.col("id").alias("known")), F.col("id") == F.col("known"), "left_anti")
+    return materialize(old.unionByName(fresh.select("id", "component")), "components")

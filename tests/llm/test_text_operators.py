@@ -314,7 +314,7 @@ def test_secret_scan_of_table(spark):
 def test_simhash_bits(spark):
     rows = [(1, " ".join(f"w{k}" for k in range(n))) for n in (5,)] + [(2, " ".join(f"v{k}" for k in range(300))), (3, " ".join(f"u{k}" for k in range(255)))]
     lines = fuzzy_lines.numbered_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
-    got = {r["doc_id"]: (r["n"], r["sim"]) for r in fuzzy_lines.simhashes(fuzzy_lines.packed_counts(lines)).collect()}
+    got = {r["doc_id"]: (r["n"], r["sim"]) for r in fuzzy_lines.simhashes(lines).collect()}
     words = lines.select("doc_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).select("doc_id", F.xxhash64("w").alias("w")).collect()
     for doc, (n, sim) in got.items():
         hashes = [r["w"] & ((1 << 64) - 1) for r in words if r["doc_id"] == doc]
@@ -326,8 +326,8 @@ def normal(line):
     return re.sub(r"[\s\u00a0]+", " ", re.sub("[0-9]+", "0", line.lower())).strip(" ")
 
 
-@pytest.mark.parametrize("crowd", [256, 1])
-def test_fuzzy_lines(spark, crowd):
+@pytest.mark.parametrize(("crowd", "line_bits"), [(256, "fit"), (1, None)])
+def test_fuzzy_lines(spark, crowd, line_bits):
     rng = np.random.default_rng(4)
     variants = []
     for k in range(40):
@@ -337,9 +337,9 @@ def test_fuzzy_lines(spark, crowd):
         variants.append((7000 + k, f"head of {k}\n{' '.join(words)}"))
     rows = documents() + variants
     docs = frame(spark, rows)
-    got = fuzzy_lines.drop_duplicate_lines(docs, crowd=crowd)
+    got = fuzzy_lines.drop_duplicate_lines(docs, crowd=crowd, line_bits=line_bits)
     lines = fuzzy_lines.numbered_lines(docs, "doc_id", "text")
-    sims = {(r["doc_id"], r["line_no"]): (r["n"], r["sim"]) for r in fuzzy_lines.simhashes(fuzzy_lines.packed_counts(lines.dropDuplicates(["doc_id", "line_no"]))).collect()}
+    sims = {(r["doc_id"], r["line_no"]): (r["n"], r["sim"]) for r in fuzzy_lines.simhashes(lines.dropDuplicates(["doc_id", "line_no"])).collect()}
     occurrences = {}
     for doc, text in dict(rows).items():
         for i, line in enumerate((text or "").split("\n")) if text is not None else ():
