@@ -989,3 +989,25 @@ def p6_health_risk(spark, d):
     model = {"intercept": -0.4, "features": {"x": _LOGIT["features"]["o_totalprice"]}}
     raw = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, "?").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("x"))
     return products.health_risk(raw, model).select("o_orderkey", F.round("risk", 8).alias("risk"))
+
+
+_CUSTOMER_MODEL = {
+    "init": -0.2,
+    "learning_rate": 0.4,
+    "features": [{"log": True, "mean": 3.4, "scale": 1.1}, {"log": True, "mean": 5.0, "scale": 0.9}, {"mean": 1.5, "scale": 1.5}],
+    "trees": [{**_TREE, "feature": [0, -1, 2, -1, -1]}, {**_TREE, "feature": [1, -1, 0, -1, -1]}],
+}
+
+
+@query()
+def p4_batch_scoring(spark, d):
+    """20 000 raw transactions of 5 000 customers: read, clean, aggregate, score, summarise."""
+    k = F.col("id")
+    day = F.date_format(F.date_sub(F.lit("2011-09-30").cast("date"), F.pmod(F.xxhash64("id"), F.lit(500)).cast("int")), "yyyy-MM-dd")
+    raw = spark.range(20_000).select(
+        F.concat(F.lit("C"), (k % 5000).cast("string")).alias("customer"), F.concat(F.lit("O"), k.cast("string")).alias("order"), day.alias("date"), (k % 9 + 1).cast("string").alias("quantity"), F.concat((k % 50 + 1).cast("string"), F.lit(".25")).alias("value"), F.when(k % 3 == 0, "VN").otherwise("UK").alias("country"), F.concat(F.lit("P"), (k % 300).cast("string")).alias("product"),
+    )
+    tx, _ = products.prepare_transactions(raw)
+    features = products.customer_features(tx, F.lit("2011-10-01"))
+    p = scoring.boosted(_CUSTOMER_MODEL, [F.col("recency_days"), F.col("tenure_days"), F.col("orders_90d")])
+    return products.score_customers(features, p)[1]
