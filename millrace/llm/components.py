@@ -48,7 +48,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     high, low = F.greatest(a, b), F.least(a, b)
     now = materialize(edges.filter(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")).distinct(), "edges")
-    while not _is_forest_of_stars(now):
+    done = False
+    while not done:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_minimum(both, F.least(F.min("v"), F.first("u"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _with_minimum(large, F.min("v"))
@@ -56,7 +57,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
         new = materialize(small.select(ends.alias("e")).select("e.*").filter("u <> v").distinct(), "edges")
         discard(now)
-        now = new
+        now, done = new, _is_forest_of_stars(new)
     roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return materialize(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), "components")
 
