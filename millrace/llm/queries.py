@@ -150,7 +150,7 @@ def op9_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines.drop_duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fuzzy_lines.drop_duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), banded=True)
 
 
 QUERIES = {

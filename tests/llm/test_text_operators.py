@@ -371,6 +371,27 @@ def test_fuzzy_lines(spark, crowd, line_bits):
     assert fuzzy_lines.drop_duplicate_lines(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [256, 1])
+def test_banded_lines_against_edit_similarity_alone(spark, crowd):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join("abcdefghijklmnopqrstuvwxyz"[i] for i in rng.integers(0, 26, int(rng.integers(2, 9))))
+    rows, pairs = [], 0
+    for n in (5, 8, 14, 30, 60):
+        for _ in range(30):
+            words = [word() for _ in range(n)]
+            edited, at = list(words), int(rng.integers(n))
+            edited[at] = edited[at][:-1] + "zq"[edited[at][-1] == "z"]  # a typo
+            if n >= 14:
+                edited[(at + 3) % n] = word()
+            a, b = " ".join(words), " ".join(edited)
+            assert edit_distance(a, b) <= int(max(len(a), len(b)) * 0.15)
+            rows += [(2 * pairs, a), (2 * pairs + 1, b)]
+            pairs += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = [r["doc_id"] for r in fuzzy_lines.duplicate_lines(docs, crowd=crowd, banded=True).collect()]
+    assert all(d % 2 for d in gone) and len(gone) >= 0.97 * pairs
+
+
 def test_merging_components(spark):
     links = [(1, 2), (2, 3), (10, 11), (20, 21), (20, 22)]
     more = [(3, 11), (22, 30), (40, 41), (2, 1)]
