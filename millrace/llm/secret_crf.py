@@ -4,10 +4,11 @@ Patterns find assignments, access keys and hex strings. A linear-chain CRF adds
 spans: it tags tokens as secret begin, inside or outside from their shape,
 their neighbouring words and features of the file, and is decoded by Viterbi.
 
-Only tokens of at least ``MIN_TOKEN`` characters with a digit may carry B or I;
-all other tokens are outside. That constraint is part of the model, so the
-chain falls apart into runs of admissible tokens, and decoding those runs is
-decoding the whole text. The field is trained here on generated lines.
+Tokens of at least ``MIN_TOKEN`` characters may carry B or I if they hold a digit,
+a capital after a small letter or ``MANY`` distinct characters, follow a cue word in
+their line, or touch such a token; all other tokens are outside. The chain
+runs over the admissible tokens of a line; I needs exactly one character to
+the token before. The field is trained here on generated lines.
 
 Defined results: null text is empty and has no spans; offsets are code points;
 repeated rows are scanned one by one; an empty table yields no rows.
@@ -32,8 +33,10 @@ KINDS = ("assign", "access", "hex", "crf")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 MIN_TOKEN = 8
-TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
-DIGIT = re.compile("[0-9]+")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.-]{8,}")
+PLAIN = re.compile("[A-Za-z]?[a-z]+")
+ODD = re.compile("[0-9]|[a-z][A-Z]")
+MANY = 12  # fewer distinct characters have an entropy below 3.5 bits
 CUE = re.compile(r"pass|secret|token|key|auth|bearer|cred|private|login|pwd", re.IGNORECASE)
 FALSE_CUE = re.compile(r"phone|tel|call|date|isbn|order|id|version|mail|invoice|page|fax|price|card", re.IGNORECASE)
 CODE = re.compile(r"[{};]\s*\n|\bimport\b|\bexport\b|=>")
@@ -42,8 +45,9 @@ STATES = ("O", "B", "I")
 FEATURES = (
     "bias", "hex", "has_upper", "has_lower", "mixed", "digits_low", "digits_mid", "digits_all", "len_12", "len_16", "len_24", "len_32",
     "entropy_3", "entropy_35", "entropy_4", "changes", "dashes", "dots", "prefix", "at_sign", "cue_left", "false_cue_left", "assigned", "quoted",
-    "glued", "file_code", "file_cue", "file_many",
+    "glued", "no_digit", "inner_case", "plain", "cued_value", "file_code", "file_cue", "file_many",
 )
+INNER = re.compile("[a-z](?=[A-Z])")
 PREFIX = re.compile(r"(ghp|gho|sk|pk|xox[bpas]|eyJ|AKIA|AIza|glpat|hf|rk|ya29)[_A-Za-z0-9-]")
 
 
@@ -61,21 +65,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def admissible(text: str) -> list[tuple[int, int]]:
     """Spans of the tokens that may be part of a secret, in time linear in the text."""
-    out, done, n = [], 0, len(text)
-    for m in DIGIT.finditer(text):
-        if m.start() < done:
+    tokens, odd = [], []
+    cues = [m.end() for m in CUE.finditer(text)]
+    c = 0
+    for m in TOKEN.finditer(text):
+        token = m[0].rstrip(".-/")  # of the sentence, not of the token
+        if len(token) < MIN_TOKEN:
             continue
-        start, end = m.span()
-        while start > done and text[start - 1] in TOKEN_CHARS:
-            start -= 1
-        while end < n and text[end] in TOKEN_CHARS:
-            end += 1
-        done = end
-        while end > m.end() and text[end - 1] in ".-/":  # of the sentence, not of the token
-            end -= 1
-        if end - start >= MIN_TOKEN:
-            out.append((start, end))
-    return out
+        start = m.start()
+        while c < len(cues) and cues[c] <= start:
+            c += 1
+        cued = c and start - cues[c - 1] <= 40 and "\n" not in text[cues[c - 1] : start]
+        tokens.append((start, start + len(token)))
+        odd.append(bool(cued or ODD.search(token) or len(set(token)) >= MANY))
+    touch = [j > 0 and a - tokens[j - 1][1] == 1 and not text[a - 1].isspace() for j, (a, _) in enumerate(tokens)]
+    for order in (range(1, len(tokens)), range(len(tokens) - 1, 0, -1)):
+        for j in order:
+            if touch[j] and odd[j] != odd[j - 1]:
+                odd[j] = odd[j - 1] = True
+    return [t for t, keep in zip(tokens, odd) if keep]
 
 
 def file_features(text: str, n_tokens: int) -> tuple[float, float, float]:
@@ -98,12 +106,13 @@ def token_features(text: str, start: int, end: int, glued: bool, of_file: tuple[
         True, all(c in "0123456789abcdefABCDEF-" for c in token), upper, lower, upper and lower, digits / n < 0.15, 0.15 <= digits / n < 0.7, digits / n >= 0.9,
         n >= 12, n >= 16, n >= 24, n >= 32, entropy >= 3, entropy >= 3.5, entropy >= 4, changes >= 4, token.count("-") + token.count("/") >= 2, token.count(".") >= 2,
         bool(PREFIX.match(token)), left[-1:] == "@" or text[end : end + 1] == "@", bool(CUE.search(near)), bool(FALSE_CUE.search(near)), bare[-1:] in (":", "="), left[-1:] in ("'", '"', "`"), glued,
+        not digits, len(INNER.findall(token)) >= 3, bool(PLAIN.fullmatch(token)), bool(CUE.search(near)) and bare[-1:] in (":", "="),
     )
     return [*map(float, flags), *of_file]
 
 
 def runs_of(text: str) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
-    """Runs of admissible tokens with one character between them, each with its features."""
+    """The admissible tokens of each line, with their features."""
     tokens = admissible(text)
     if not tokens:
         return []
@@ -111,7 +120,7 @@ def runs_of(text: str) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
     for k, (start, end) in enumerate(tokens):
         glued = bool(k) and start - tokens[k - 1][1] == 1
         row = token_features(text, start, end, glued, of_file)
-        if glued:
+        if k and "\n" not in text[tokens[k - 1][1] : start]:
             out[-1][0].append((start, end))
             out[-1][1].append(row)
         else:
@@ -119,6 +128,13 @@ def runs_of(text: str) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
     return [(spans, np.array(rows)) for spans, rows in out]
 
 
+def emissions(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """(tokens, states); a token that is not glued to the one before is not inside."""
+    out = x @ w
+    out[x[:, FEATURES.index("glued")] == 0, 2] -= 1e4
+    return out
+
+
 def viterbi(emission: np.ndarray, move: np.ndarray, begin: np.ndarray) -> list[int]:
     """The best path of states; emission is (tokens, states)."""
     best, back = begin + emission[0], []
@@ -137,7 +153,7 @@ def log_likelihood(runs, w, move, begin):
     total, gw, gm, gb = 0.0, np.zeros_like(w), np.zeros_like(move), np.zeros_like(begin)
     lse = lambda a, axis: a.max(axis) + np.log(np.exp(a - np.expand_dims(a.max(axis), axis)).sum(axis))
     for x, y in runs:
-        e, n = x @ w, len(y)
+        e, n = emissions(x, w), len(y)
         alpha, beta = np.empty((n, 3)), np.zeros((n, 3))
         alpha[0] = begin + e[0]
         for t in range(1, n):
@@ -160,6 +176,7 @@ def training_lines(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]
     """Generated lines with the spans of their secrets; half of them hold none."""
     rng = np.random.default_rng(seed)
     alnum, hexes, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef", "0123456789"
+    letters = alnum[:26], alnum[26:52]
     draw = lambda chars, k: "".join(chars[i] for i in rng.integers(0, len(chars), k))
     pick = lambda options: options[int(rng.integers(len(options)))]
     words = lambda: " ".join(draw("etaoinshrdlu", int(rng.integers(2, 9))) for _ in range(int(rng.integers(1, 7))))
@@ -170,7 +187,15 @@ def training_lines(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]
             cue = pick(["password", "secret", "token", "api key", "auth", "Bearer", "private key", "credentials", "access_key", "pwd", ""])
             joint = pick([": ", "=", " = ", ' = "', ": '", " ", " is "])
             parts = [pick([pick(["ghp_", "sk-", "glpat-", "xoxb-", "AKIA", "", ""]) + draw(alnum, int(rng.integers(16, 44))) + draw(digits, 2), draw(hexes, int(rng.integers(20, 64))) + "7"])]
-            if rng.random() < 0.3:
+            if rng.random() < 0.4:  # without a digit
+                cue = cue or "passphrase"
+                mixed = lambda: "".join(draw(letters[i % 2], 1) for i in range(int(rng.integers(14, 30))))  # noqa: B023, E731
+                phrase = lambda: "-".join(draw("etaoinshrdlu", int(rng.integers(4, 8))) for _ in range(4))
+                camel = lambda: "".join(draw("abcdefghijklmnopqrstuvwxyz", int(rng.integers(2, 6))).capitalize() for _ in range(4))
+                kind = pick([mixed, lambda: draw(letters[0] + letters[1], int(rng.integers(16, 40))), phrase, camel])
+                joint = pick([": ", "=", " = ", ' = "', ": '"]) if kind in (phrase, camel) else joint
+                parts = [kind()]
+            if rng.random() < 0.3 and "-" not in parts[0]:
                 parts.append(draw(alnum, int(rng.integers(10, 30))) + draw(digits, 2))
             head, secret = f"{lead} {cue}{joint}", pick([":", "$", "~"]).join(parts)
             out.append((f"{head}{secret} {tail}", [(len(head), len(head) + len(secret))]))
@@ -187,6 +212,11 @@ def training_lines(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]
                     lambda: f"{pick(['mail', 'write', ''])} {draw('etaoinsr', 7)}.{draw(digits, 2)}@mail{draw(digits, 1)}.example.com",
                     lambda: f"{draw(digits, 3)}.{draw(digits, 3)}.{draw(digits, 2)}.{draw(digits, 2)}",
                     lambda: f"{draw('etaoinsr', 6)}/{draw('etaoinsr', 6)}/page_{draw(digits, 3)}.html",
+                    lambda: f"{pick(['the secret', 'a token', 'key', 'password', 'login', 'author', ''])} {draw('etaoinshrdlu', int(rng.integers(8, 16)))}",
+                    lambda: f"{pick(['author', 'password', 'key', 'note'])}: {draw('etaoinshrdlu', int(rng.integers(8, 15)))} {words()}",
+                    lambda: "-".join(draw("etaoinshrdlu", int(rng.integers(2, 8))) for _ in range(int(rng.integers(2, 5)))),
+                    lambda: draw("etaoinshrdlu", 5) + "".join(draw("etaoinshrdlu", int(rng.integers(3, 8))).capitalize() for _ in range(int(rng.integers(1, 4)))),
+                    lambda: draw("abcdefghijklmnopqrstuvwxyz", int(rng.integers(12, 24))).capitalize(),
                     lambda: f"{draw('etaoinsr', int(rng.integers(6, 14)))}{draw(digits, int(rng.integers(1, 4)))}",
                 ]
             )()
@@ -228,7 +258,7 @@ def crf_spans(text: str, model) -> list[tuple[str, int, int]]:
     w, move, begin = model
     out = []
     for spans, x in runs_of(text):
-        for (start, end), state in zip(spans, viterbi(x @ w, move, begin)):
+        for (start, end), state in zip(spans, viterbi(emissions(x, w), move, begin)):
             if state == 1:
                 out.append(("crf", start, end))
             elif state == 2:

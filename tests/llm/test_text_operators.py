@@ -285,6 +285,15 @@ def test_secret_field_on_held_out_lines():
     assert right / (right + extra) > 0.95 and right / (right + missed) > 0.95
 
 
+def test_secrets_without_digits():
+    model = secret_crf.trained()
+    found = lambda text: [text[a:b] for _, a, b in secret_crf.crf_spans(text, model)]
+    for head, secret in (("Authorization: Bearer ", "QwErTyUiOpAsDfGhJkLz"), ("passphrase: ", "correct-horse-battery-staple"), ("pwd = ", "LetMeInPlease")):
+        assert found(f"some text {head}{secret} and more") == [secret]
+    for plain in ("the responsibilities of international organisations", "a state-of-the-art implementation of the interface", "the secret agreement between governments"):
+        assert found(plain) == []
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
