@@ -401,6 +401,13 @@ def test_banded_lines_against_edit_similarity_alone(spark, crowd):
     assert all(d % 2 for d in gone) and len(gone) >= 0.97 * pairs
 
 
+def test_equal_lines_of_few_words(spark):
+    lines = ["本网站的所有内容未经书面许可不得转载", "=" * 300, "incomprehensibilities notwithstanding", "a b"]
+    docs = spark.createDataFrame([(d, "\n".join(lines)) for d in (1, 2)] + [(3, lines[0] + "甲")], "doc_id long, text string")
+    gone = {(r["doc_id"], r["line_no"]) for r in fuzzy_lines.duplicate_lines(docs).collect()}
+    assert gone == {(2, 0), (2, 1), (2, 2)}
+
+
 def test_merging_components(spark):
     links = [(1, 2), (2, 3), (10, 11), (20, 21), (20, 22)]
     more = [(3, 11), (22, 30), (40, 41), (2, 1)]
