@@ -177,8 +177,8 @@ def adaptive_verdict(
     return joined.select(*[measured[k] for k in keys], *out, (~F.col("base_failed") & fine).alias("kept"))
 
 
-def keep_passing(docs: DataFrame, broadcast_ids: int = 1_000_000, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_passing(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id no rejected row has; rows without an id stay."""
     verdict = materialize(adaptive_verdict(docs, keys=(id_col,), **options).select(id_col, "kept"), "verdicts")
-    rejected = size_checked(verdict.filter("NOT kept").select(F.col(id_col).alias("rejected_id")).distinct(), broadcast_ids)
+    rejected = size_checked(verdict.filter("NOT kept").select(F.col(id_col).alias("rejected_id")).distinct())
     return docs.join(rejected, docs[id_col] == rejected["rejected_id"], "left_anti")

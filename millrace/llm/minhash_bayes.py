@@ -316,7 +316,6 @@ def near_duplicates(
     percent: int = 75,
     miss: float = 1e-6,
     block: int = 2000,
-    broadcast_ids: int = 1_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -334,7 +333,7 @@ def near_duplicates(
     crowded = dealt_anew(crowded, "key").select("join_key", "leader", "members")
     members = materialize(dealt_anew(buckets, "key").join(crowded, "join_key").select("key", "id", "leader", "members").distinct(), "members")
 
-    ids = size_checked(members.select(F.col("id").alias("wanted")).distinct(), broadcast_ids)
+    ids = size_checked(members.select(F.col("id").alias("wanted")).distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialize(_signed(texts.join(ids, F.col("id") == F.col("wanted"), "left_semi").dropDuplicates(["id"])), "signed")
 
@@ -364,8 +363,8 @@ def near_duplicates(
     return final.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, broadcast_ids: int = 1_000_000, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that open their component; rows without an id stay."""
-    found = materialize(near_duplicates(docs, broadcast_ids=broadcast_ids, id_col=id_col, **options).select("doc_id", "kept"), "near")
-    gone = size_checked(found.filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct(), broadcast_ids)
+    found = materialize(near_duplicates(docs, id_col=id_col, **options).select("doc_id", "kept"), "near")
+    gone = size_checked(found.filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct())
     return docs.join(gone, docs[id_col].cast("long") == gone["gone_id"], "left_anti")

@@ -333,7 +333,7 @@ def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(rest), removed, runs
 
 
-def repeated_spans(docs: DataFrame, bucket_bytes: int = 24 << 20, broadcast_ids: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, bucket_bytes: int = 24 << 20) -> tuple[DataFrame, DataFrame]:
     """For docs (doc_id, text): the copies (doc_id, n_bytes) of earlier texts of 50 bytes and more, and (doc_id, spans) of the other repeats."""
     sized = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     prints = materialize(sized.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("p"), F.sha2("text", 256).alias("q")), "prints")
@@ -343,11 +343,11 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = 24 << 20, broadcast_ids:
     copies = materialize(copies, "copies")
     total = prints.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, math.ceil(total / 18 * 24 / bucket_bytes))  # a leader in 18 bytes, 24 bytes each
-    copy_ids = size_checked(copies.select(F.col("doc_id").alias("copy_id")), broadcast_ids)
+    copy_ids = size_checked(copies.select(F.col("doc_id").alias("copy_id")))
     singles = sized.join(copy_ids, F.col("doc_id") == F.col("copy_id"), "left_anti").select("doc_id", "text")
     stay = materialize(_survivors(_deal_first(singles, buckets).repartition(buckets, "bucket")), "survivors")
     codes = stay.groupBy("doc").agg(F.collect_list("code").alias("codes"))  # at most one per byte of the text
-    wanted = size_checked(materialize(stay.select(F.col("doc").alias("wanted")).distinct(), "wanted"), broadcast_ids)
+    wanted = size_checked(materialize(stay.select(F.col("doc").alias("wanted")).distinct(), "wanted"))
     near = singles.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
     near = near.join(codes, F.col("doc_id") == F.col("doc")).select("doc_id", "codes", "text")
     n_near = max(1, math.ceil(stay.count() * (CONTEXT + 40) / bucket_bytes))
@@ -356,18 +356,18 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = 24 << 20, broadcast_ids:
     return copies, materialize(spans.select(F.col("doc").alias("doc_id"), "spans"), "spans")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of each row of ``docs``."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    copies, spans = repeated_spans(docs, broadcast_ids=broadcast_ids)
+    copies, spans = repeated_spans(docs)
     touched = materialize(copies.select(F.col("doc_id").alias("touched")).unionByName(spans.select(F.col("doc_id").alias("touched"))).distinct(), "touched")
-    touched = size_checked(touched, broadcast_ids)
+    touched = size_checked(touched)
     zero = F.lit(0).cast("long")
     body = F.col("text").cast("binary")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     clean = docs.join(touched, F.col("doc_id") == F.col("touched"), "left_anti")
     clean = clean.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(body, 256).alias("kept_sha256"), body.alias("kept"))
-    copied = docs.join(size_checked(copies.select(F.col("doc_id").alias("copy_id"), "n_bytes"), broadcast_ids), F.col("doc_id") == F.col("copy_id"))
+    copied = docs.join(size_checked(copies.select(F.col("doc_id").alias("copy_id"), "n_bytes")), F.col("doc_id") == F.col("copy_id"))
     copied = copied.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(b"").alias("kept"))
 
     def run(batches):
