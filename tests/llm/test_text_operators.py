@@ -404,7 +404,7 @@ def removed_by_brute_force(rows, similarity=0.85, min_words=5):
     return {at for g, ats in groups.items() for at in ats if root[firsts[g]] != at}
 
 
-@pytest.mark.parametrize(("crowd", "hot", "line_bits"), [(256, 8192, "fit"), (1, 2, None)])
+@pytest.mark.parametrize(("crowd", "hot", "line_bits"), [(256, 8192, "fit"), (1, 64, None)])
 def test_fuzzy_lines(spark, crowd, hot, line_bits):
     rng = np.random.default_rng(4)
     variants = []
