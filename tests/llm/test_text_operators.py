@@ -397,8 +397,11 @@ def removed_by_brute_force(rows, similarity=0.85, min_words=5):
     links = []
     for i, x in enumerate(texts):
         for y in texts[i + 1 :]:
-            allowed = int(max(len(x), len(y)) * 0.15)
-            if abs(len(x) - len(y)) <= allowed and bit_parallel_distance(x, y) <= allowed:
+            a, b = x.split(" "), y.split(" ")
+            if max(len(a), len(b)) <= 128:
+                a, b = x, y
+            allowed = int(max(len(a), len(b)) * 0.15)
+            if abs(len(a) - len(b)) <= allowed and bit_parallel_distance(a, b) <= allowed:
                 links.append((firsts[x], firsts[y]))
     root = union(links, list(firsts.values()))
     return {at for g, ats in groups.items() for at in ats if root[firsts[g]] != at}
