@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.numeric import is_finite
 from millrace.functions.parse import ambiguous_number, locale_number
+from millrace.operators.aggregates import exact_sum
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -18,7 +19,7 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         v = F.when(is_finite(F.col(c).cast("double")), F.col(c).cast("double"))
         aggs.append(
             F.struct(
-                F.lit(c).alias("name"), F.count(v).alias("n_valid"), F.count_if(F.col(c).isNull()).alias("n_missing"), F.count_distinct(c).alias("n_unique"), F.round(F.avg(v), 6).alias("mean"), F.percentile(v, 0.5).alias("median"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
+                F.lit(c).alias("name"), F.count(v).alias("n_valid"), F.count_if(F.col(c).isNull()).alias("n_missing"), F.count_distinct(c).alias("n_unique"), F.round(exact_sum(v) / F.count(v), 6).alias("mean"), F.percentile(v, 0.5).alias("median"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
             ).alias(f"s_{c}")
         )
     wide = df.agg(*aggs)

@@ -495,7 +495,7 @@ def smp7_folds(spark, d):
 
 # ---- profiles
 
-_PROFILE = "SELECT '{c}' AS name, count({c}) AS n_valid, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_unique, round(avg({c}), 6) AS mean, quantile_cont({c}::DOUBLE, 0.5) AS median, round(stddev_pop({c}), 6) AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max FROM lineitem"
+_PROFILE = "SELECT '{c}' AS name, count({c}) AS n_valid, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_unique, round(CAST(sum(CAST({c} AS DECIMAL(28, 10))) AS DOUBLE) / count({c}), 6) AS mean, quantile_cont({c}::DOUBLE, 0.5) AS median, round(stddev_pop({c}), 6) AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max FROM lineitem"
 
 
 @query(" UNION ALL ".join(_PROFILE.format(c=c) for c in ("l_quantity", "l_discount", "l_linenumber")))
@@ -766,10 +766,14 @@ def txt12_near_keys(spark, d):
     return rows.select(textrules.near_key(["text"], ["lang"]).alias("a"), textrules.row_key(rows, ["text", "lang", "source"]).alias("b")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("a").alias("near_keys"), F.count_distinct("b").alias("exact_keys"))
 
 
-@query()
+#: The titles state one price, of one decimal place, in billions; half of the descriptions add a rate per m2, and a deposit that is no price.
+_PRICED = "SELECT o_orderkey AS id, CAST(round(o_totalprice / 1e5, 1) AS DOUBLE) * 1e9 AS titled, o_orderkey % 2 = 0 AS rated FROM orders"
+
+
+@query(f"SELECT id, CAST(1 + CAST(rated AS INT) AS INT) AS n_prices, titled AS reference, 'title' AS reason FROM ({_PRICED})")
 def txt4_price_mentions(spark, d):
     k = F.col("o_orderkey")
-    rows = table(spark, d, "orders").select(k.alias("id"), F.concat(F.lit("Bán nhà giá "), F.round(F.col("o_totalprice") / 1e5, 1).cast("string"), F.lit(" tỷ")).alias("title"), F.when(k % 2 == 0, "đặt cọc 200 triệu, 85 triệu/m2").alias("description"), (k % 90 + 30).cast("double").alias("area"))
+    rows = table(spark, d, "orders").select(k.alias("id"), F.concat(F.lit("Bán nhà giá "), F.round(F.col("o_totalprice") / 1e5, 1).cast("string"), F.lit(" tỷ")).alias("title"), F.when(k % 2 == 0, "đặt cọc 200 triệu; 85 triệu/m2").alias("description"), (k % 90 + 30).cast("double").alias("area"))
     found = textrules.extract_prices(rows, "title", "description", "area")
     return found.select("id", F.size("prices").alias("n_prices"), textrules.reference_price(F.col("prices"))["value"].alias("reference"), textrules.reference_price(F.col("prices"))["reason"].alias("reason"))
 
@@ -903,14 +907,14 @@ def ml16_complement_percent(spark, d):
 
 
 @query(
-    """SELECT o_orderkey, round(CASE WHEN low THEN -0.6 ELSE 0.3 END, 8) AS c_price, round(CASE WHEN low THEN 0.0 WHEN early THEN -0.2 ELSE 0.4 END, 8) AS c_month FROM (SELECT o_orderkey, CAST(o_totalprice / 1e6 AS FLOAT) <= CAST(0.25 AS FLOAT) AS low, CAST(month(o_orderdate) / 10.0 - 0.7 AS FLOAT) <= CAST(-0.1 AS FLOAT) AS early FROM orders)"""
+    """SELECT o_orderkey, CAST(CASE WHEN low THEN -0.6 ELSE 0.3 END AS DOUBLE) AS c_price, CAST(CASE WHEN low THEN 0.0 WHEN early THEN -0.2 ELSE 0.4 END AS DOUBLE) AS c_month FROM (SELECT o_orderkey, CAST(o_totalprice / 1e6 AS FLOAT) <= CAST(0.25 AS FLOAT) AS low, CAST(month(o_orderdate) / 10.0 - 0.7 AS FLOAT) <= CAST(-0.1 AS FLOAT) AS early FROM orders)"""
 )
 def ml12_tree_contributions(spark, d):
     c = scoring.tree_contributions(_TREE, [F.col("o_totalprice") / 1e6, F.month("o_orderdate") / 10.0 - 0.7], ["price", "month"])
     return table(spark, d, "orders").select("o_orderkey", *[F.round(v, 8).cast("double").alias(f"c_{k}") for k, v in c.items()])
 
 
-@query("SELECT p_partkey, round(p_size * 900.5, 4) AS low, round(p_size * 1000.25, 4) AS value, round(p_size * 1100.75, 4) AS high FROM part")
+@query("SELECT p_partkey, round(p_size * 900.5::DOUBLE, 4) AS low, round(p_size * 1000.25::DOUBLE, 4) AS value, round(p_size * 1100.75::DOUBLE, 4) AS high FROM part")
 def ml23_market_estimate(spark, d):
     e = market.estimate(F.col("p_size"), F.lit(900.5), F.lit(1000.25), F.lit(1100.75))
     return table(spark, d, "part").select("p_partkey", *[F.round(v, 4).alias(k) for k, v in e.items()])

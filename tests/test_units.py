@@ -132,13 +132,26 @@ def test_intent_and_prices(spark):
     rows = [("Bán nhà mặt tiền đang cho thuê 20tr/tháng", ""), ("Cho thuê căn hộ", "bán nhà"), ("Cần mua đất", ""), ("Bán hoặc cho thuê nhà", ""), ("Nhà đẹp", "")]
     out = textrules.intent(spark.createDataFrame(rows, "t string, d string"), "t", "d").collect()
     assert [r["rule_label"] for r in out] == [textrules.SALE_LABEL, textrules.UNCLEAR, textrules.UNCLEAR, textrules.UNCLEAR, textrules.UNCLEAR]
-    totals = lambda t, area=None, **k: [round(p["total"]) for p in textrules.price_mentions(t, "title", area, **k)]
-    assert totals("Giá bán 5 tỷ 200 triệu") == [5_200_000_000]
-    assert totals("bán 5ty250") == [5_250_000_000]
-    assert totals("85 triệu/m2", 100.0) == [8_500_000_000] and totals("85 triệu/m2") == []
-    assert totals("thu nhập 30 triệu; giá bán 4,5 tỷ") == [4_500_000_000]
-    assert totals("cho thuê 15 triệu/tháng") == [] and totals("đặt cọc 200 triệu") == []
-    assert totals("3.250 tỷ", strict=True) == [] and totals("2 tỷ usd") == []
+    cases = [
+        ("Giá bán 5 tỷ 200 triệu", None, [5_200_000_000]),
+        ("bán 5ty250", None, [5_250_000_000]),
+        ("bán 5 tỷ 250", None, [5_000_000_000]),
+        ("85 triệu/m2", 100.0, [8_500_000_000]),
+        ("85 triệu/m2", None, []),
+        ("thu nhập 30 triệu; giá bán 4,5 tỷ", None, [4_500_000_000]),
+        ("thu nhập 30 triệu, giá bán: 4,5 tỷ", None, [4_500_000_000]),
+        ("cho thuê 15 triệu/tháng", None, []),
+        ("đặt cọc 200 triệu", None, []),
+        ("2 tỷ usd", None, []),
+        ("2 tỷ hoặc 3.250 triệu", None, [2_000_000_000, 3_250_000_000]),
+        ("1.250.000 triệu, mười tỷ", None, [1_250_000_000_000]),
+        ("1.2.3 tỷ, 7 tyx", None, []),
+        (None, 1.0, []),
+    ]
+    priced = spark.createDataFrame([(i, t, a) for i, (t, a, _) in enumerate(cases)], "i int, t string, a double").withColumn("p", textrules.price_mentions(F.col("t"), "title", F.col("a")))
+    assert [[round(x) for x in r[0]] for r in priced.orderBy("i").select(F.transform("p", lambda x: x["total"])).collect()] == [want for *_, want in cases]
+    unclear = spark.createDataFrame([("3.250 tỷ",)], "t string").select(textrules.price_mentions(F.col("t"), "title", F.lit(None).cast("double"), strict=True))
+    assert unclear.first()[0] == []
 
 
 def test_reference_and_basis(spark):
@@ -162,6 +175,12 @@ def test_walk_forward_plan():
     plan = sampling.walk_forward_plan(100, 10)
     assert plan["holdout_start"] == 80 and [f["train_end"] for f in plan["folds"]] == [50, 60, 70] and plan["ranking_source"] == "backtest_rmse"
     assert len(sampling.walk_forward_plan(300, 90)["folds"]) == 5
+    for n in range(12, 700, 7):
+        for horizon in (1, 9, 90):
+            plan = sampling.walk_forward_plan(n, horizon)
+            edges = [plan["folds"][0]["train_end"]] + [f["validation_end"] for f in plan["folds"]]
+            assert edges[-1] == plan["holdout_start"] == n - min(90, max(2, n // 5)) and edges == sorted(set(edges)) and edges[0] > 0
+            assert len({b - a for a, b in zip(edges, edges[1:])}) == 1 and edges[1] - edges[0] <= min(horizon, 60)
 
 
 def test_features_never_see_the_present(spark):
@@ -283,6 +302,11 @@ def test_csv_sniffing_and_padding(spark, tmp_path):
     p.write_text("a,b\n1,2,3\n")
     with pytest.raises(ValueError):
         files.read_csv(spark, str(p), sep=",", strict=True)
+    wide = tmp_path / "wide.csv"
+    wide.write_text("a,b\n1,2\n3,4,5\n")
+    with pytest.raises(ValueError, match="wider"):
+        files.read_csv(spark, str(wide), sep=",")
+    assert [tuple(r) for r in files.read_csv(spark, str(wide), sep=",", cut_wide=True).collect()] == [("1", "2"), ("3", "4")]
 
 
 def workbook(rows):
