@@ -767,10 +767,10 @@ def txt12_near_keys(spark, d):
 
 
 #: The titles state one price, of one decimal place, in billions; half of the descriptions add a rate per m2, and a deposit that is no price.
-_PRICED = "SELECT o_orderkey AS id, CAST(round(o_totalprice / 1e5, 1) AS DOUBLE) * 1e9 AS titled, o_orderkey % 2 = 0 AS rated FROM orders"
+_PRICED = "SELECT o_orderkey AS id, CAST(round(o_totalprice / 1e5, 1) AS DOUBLE) * 1e9 AS titled, o_orderkey % 2 = 0 AS rated, 85e6::DOUBLE * (o_orderkey % 90 + 30) AS by_rate FROM orders"
 
 
-@query(f"SELECT id, CAST(1 + CAST(rated AS INT) AS INT) AS n_prices, titled AS reference, 'title' AS reason FROM ({_PRICED})")
+@query(f"SELECT id, CAST(titled > 0 AS INT) + CAST(rated AS INT) AS n_prices, CASE WHEN titled > 0 THEN titled WHEN rated THEN by_rate END AS reference, CASE WHEN titled > 0 THEN 'title' WHEN rated THEN 'description' ELSE 'no_supported_price' END AS reason FROM ({_PRICED})")
 def txt4_price_mentions(spark, d):
     k = F.col("o_orderkey")
     rows = table(spark, d, "orders").select(k.alias("id"), F.concat(F.lit("Bán nhà giá "), F.round(F.col("o_totalprice") / 1e5, 1).cast("string"), F.lit(" tỷ")).alias("title"), F.when(k % 2 == 0, "đặt cọc 200 triệu; 85 triệu/m2").alias("description"), (k % 90 + 30).cast("double").alias("area"))
