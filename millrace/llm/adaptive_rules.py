@@ -2,13 +2,19 @@
 
 Each rule's cutoff comes from quantile sketches per language and source:
 partial sketches merge before the shuffle, so a hot source costs one small
-sketch per task. Groups with few rows fall back to their language, then to all
-rows. Built of DataFrame functions only.
+sketch per task. A fence lies three times the distance of the quartiles beyond
+them, so it holds while a quarter of a group is bad. The distance is at least
+that of the group's language and of all rows, as groups of copies have none of
+their own; quartiles are drawn to those of the language, and these to those of
+all rows, the more the fewer rows a group has. Metrics that count are granted
+``SLIPS`` occurrences beyond their fence, as one symbol in a text is no rate. No
+constant is in a metric's own unit. Built of DataFrame functions only.
 
 Defined results: null or empty texts have no words, fail the base rule and are
 dropped; null languages and sources are groups of their own; an empty table
-gives an empty result; repeated rows are judged one by one. Input columns with
-the names of results are replaced.
+gives an empty result; repeated rows are judged one by one; a value on a fence is
+inside, ties alike; a text of any length is measured whole, in one row. Of the
+input only ``keys`` are returned, so columns with the names of results do no harm.
 """
 
 from __future__ import annotations
@@ -22,6 +28,10 @@ from .storage import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 METRICS = ("symbol_ratio", "dup_line_ratio", "mean_word")
+RANKS = (0.25, 0.75)
+SLIPS = 3
+#: The count and the number of trials behind a metric that is a rate.
+RATES = {"symbol_ratio": ("n_symbols", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines")}
 
 
 def let(value: Column, body) -> Column:
@@ -106,7 +116,7 @@ def measure(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFra
 
 
 def thresholds(measured: DataFrame, groups: tuple[str, ...] = ("lang", "source"), accuracy: int = 10000) -> DataFrame:
-    """Quartiles of each metric by (lang, source), by lang, and over all rows.
+    """The values of each metric at ``RANKS``, by (lang, source), by lang, and over all rows.
 
     ``percentile_approx`` keeps a mergeable sketch of at most about
     ``accuracy`` entries per group and task; the rank error is 1 / accuracy.
@@ -116,15 +126,21 @@ def thresholds(measured: DataFrame, groups: tuple[str, ...] = ("lang", "source")
     base = measured.filter(~F.col("base_failed")).select(
         F.coalesce(F.col(lang), F.lit("")).alias("g_lang"), F.coalesce(F.col(source), F.lit("")).alias("g_source"), *METRICS
     )
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], accuracy).alias(m) for m in METRICS]
+    ranks = [F.percentile_approx(m, list(RANKS), accuracy).alias(m) for m in METRICS]
     sets = base.groupingSets([["g_lang", "g_source"], ["g_lang"], []], "g_lang", "g_source")
-    return sets.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("group_rows"), *quartiles)
+    return sets.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("group_rows"), *ranks)
 
 
-def fences(q: Column, fence: float, slack: float) -> tuple[Column, Column]:
-    """Bounds at ``fence`` times the middle half's width, at least ``slack``, beyond the quartiles."""
-    width = F.greatest(fence * (q[1] - q[0]), F.lit(slack))
-    return q[0] - width, q[1] + width
+def spread(q: Column) -> Column:
+    """struct(low, high, width) of the values at ``RANKS``."""
+    return F.struct(q[0].alias("low"), q[1].alias("high"), (q[1] - q[0]).alias("width"))
+
+
+def _drawn(own: Column, wider: Column, rows: Column, weight: float) -> Column:
+    """``own`` moved to ``wider`` as if ``weight`` rows of the latter had been seen too; the larger width; ``wider`` where there is no own."""
+    share = rows / (rows + F.lit(weight))
+    moved = [(wider[k] + share * (own[k] - wider[k])).alias(k) for k in ("low", "high")]
+    return F.coalesce(F.struct(*moved, F.greatest(own["width"], wider["width"]).alias("width")), wider)
 
 
 def adaptive_verdict(
@@ -133,45 +149,35 @@ def adaptive_verdict(
     text_col: str = "text",
     groups: tuple[str, str] = ("lang", "source"),
     fence: float = 3.0,
-    slack: dict[str, float] | None = None,
-    min_rows: int = 50,
-    broadcast_groups: int = 20_000,
+    weight: float = 50.0,
 ) -> DataFrame:
     """``keys``, the base counts, ``base_failed`` and ``kept`` of each row.
 
     A text is kept if it passes the base rule and stays within its group's
     fences: symbols per word and share of repeated lines from above, mean word
-    length from both sides. ``slack`` is the least distance of a fence from the
-    quartiles, so that a uniform group rejects no ordinary text. Thresholds are
-    broadcast up to ``broadcast_groups`` groups and joined by shuffle beyond.
+    length from both sides. Thresholds are broadcast if they are small, and
+    joined by shuffle beyond.
     """
-    slack = {"symbol_ratio": 0.25, "dup_line_ratio": 0.5, "mean_word": 4.0} | (slack or {})
+    lang, source = groups
     keep = list(dict.fromkeys([*keys, *groups]))
     measured = materialize(measure(docs, keep, text_col), "measured")
     table = materialize(thresholds(measured, groups), "thresholds")
-    n_groups = table.count()
-    everything = table.filter("level = 3").select(*[F.col(m).alias(f"all_{m}") for m in METRICS])
-    by_lang = table.filter("level = 1").select(F.col("g_lang").alias("l_lang"), F.col("group_rows").alias("l_rows"), *[F.col(m).alias(f"l_{m}") for m in METRICS])
-    by_group = (
-        table.filter("level = 0")
-        .join(by_lang, F.col("g_lang") == F.col("l_lang"), "left")
-        .crossJoin(F.broadcast(everything))  # one row
-        .select(
-            "g_lang",
-            "g_source",
-            *[F.when(F.col("group_rows") >= min_rows, F.col(m)).when(F.col("l_rows") >= min_rows, F.col(f"l_{m}")).otherwise(F.col(f"all_{m}")).alias(f"q_{m}") for m in METRICS],
-        )
-    )
-    if n_groups <= broadcast_groups:
-        by_group = F.broadcast(by_group)
-    lang, source = groups
-    joined = measured.join(
-        by_group, (F.coalesce(measured[lang], F.lit("")) == by_group["g_lang"]) & (F.coalesce(measured[source], F.lit("")) == by_group["g_source"]), "left"
-    )
+    everything = table.filter("level = 3").select(*[spread(F.col(m)).alias(f"all_{m}") for m in METRICS])
+    by_lang = table.filter("level = 1").crossJoin(F.broadcast(everything))  # one row
+    by_lang = by_lang.select(F.col("g_lang").alias("l_lang"), *[_drawn(spread(F.col(m)), F.col(f"all_{m}"), F.col("group_rows"), weight).alias(f"l_{m}") for m in METRICS])
+    by_group = table.filter("level = 0").join(by_lang, F.col("g_lang") == F.col("l_lang"))
+    drawn = {m: _drawn(spread(F.col(m)), F.col(f"l_{m}"), F.col("group_rows"), weight) for m in METRICS}
+    by_group = by_group.select("g_lang", "g_source", *[c for m, x in drawn.items() for c in ((x["low"] - fence * x["width"]).alias(f"low_{m}"), (x["high"] + fence * x["width"]).alias(f"high_{m}"))])
+    by_group = size_checked(materialize(by_group, "fences"))
+    same = (F.coalesce(measured[lang], F.lit("")) == by_group["g_lang"]) & (F.coalesce(measured[source], F.lit("")) == by_group["g_source"])
+    joined = measured.join(by_group, same, "left")
     fine = F.lit(True)
     for m in METRICS:
-        low, high = fences(F.col(f"q_{m}"), fence, slack[m])
-        inside = (F.col(m) <= high) & ((F.col(m) >= low) if m == "mean_word" else F.lit(True))
+        if m in RATES:
+            count, trials = RATES[m]
+            inside = F.col(count) <= F.col(f"high_{m}") * F.col(trials) + F.lit(float(SLIPS))
+        else:
+            inside = F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}"))
         fine = fine & F.coalesce(inside, F.lit(True))
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed"]
     return joined.select(*[measured[k] for k in keys], *out, (~F.col("base_failed") & fine).alias("kept"))

@@ -10,9 +10,13 @@ The documents are never shuffled. The items are read in blocks of about
 what is broadcast however large the benchmark is.
 
 Defined results: letter case and kinds of white space do not count; null and
-empty texts match nothing; items shorter than ``min_chars`` (null ones too) are
-not searched, as they would match ordinary prose; repeated items and documents
-are reported once each; an empty benchmark or corpus gives no rows.
+empty texts match nothing, nor do null and blank items; items shorter than
+``min_chars`` are found unchanged only, and between characters that are no letters or
+digits, as they would match ordinary prose otherwise; of equally good places the
+first counts; repeated items and documents are reported once each; a text of any
+length is searched whole; an empty benchmark or corpus gives no rows. Columns of
+``docs`` besides id and text do not matter to the search and stay in
+``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 HITS = "doc_id long, item_id long, distance int, item_chars int, start long, end long"
 
 
@@ -78,12 +84,12 @@ def best_end(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Matcher:
     """The pieces of one block of items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int):
         import ahocorasick
 
-        self.items, found = [], defaultdict(list)
+        self.items, self.min_chars, found = [], min_chars, defaultdict(list)
         for item_id, text in items:
-            errors = math.floor(rate * len(text))
+            errors = math.floor(rate * len(text)) if len(text) >= min_chars else 0
             for start, end in pieces(len(text), errors):
                 found[text[start:end]].append((len(self.items), start))
             self.items.append((item_id, text, errors, letter_masks(text), letter_masks(text[::-1])))
@@ -95,6 +101,8 @@ class Matcher:
     def search(self, text: str):
         """(item_id, distance, item length, start, end) of the best match of each item that occurs."""
         low = normalize(text)
+        if not self.items:
+            return
         shifts = defaultdict(set)
         for end, (length, where) in self.automaton.iter(low):
             for item, offset in where:
@@ -102,7 +110,13 @@ class Matcher:
         for item, places in shifts.items():
             item_id, pattern, errors, masks, backward = self.items[item]
             m = len(pattern)
-            exact = next((p for p in places if p >= 0 and low.startswith(pattern, p)), None)
+            if m < self.min_chars:
+                apart = lambda i: not low[i : i + 1].isalnum() if i >= 0 else True
+                place = min((p for p in places if apart(p - 1) and apart(p + m)), default=None)  # one piece: every hit is whole
+                if place is not None:
+                    yield item_id, 0, m, place, place + m
+                continue
+            exact = next((p for p in sorted(places) if p >= 0 and low.startswith(pattern, p)), None)
             if exact is not None:
                 yield item_id, 0, m, exact, exact + m
                 continue
@@ -123,16 +137,16 @@ class Matcher:
                 yield item_id, distance, m, end - length, end
 
 
-def _blocks(benchmark: DataFrame, rate: float, min_chars: int, block_bytes: int):
-    """Broadcasts of the items, a block each."""
+def _blocks(benchmark: DataFrame, block_bytes: int):
+    """(broadcast of the items, whether it is the last) block by block."""
     spark = benchmark.sparkSession
-    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.length("text") >= min_chars).dropDuplicates()
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.length(F.trim("text")) > 0).dropDuplicates()
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     for k in range(n):
         rows = texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # about block_bytes
-        if rows:
-            yield spark.sparkContext.broadcast([(r["item_id"], normalize(r["text"])) for r in rows])
+        items = [(r["item_id"], t) for r in rows if (t := normalize(r["text"]).strip())]
+        yield spark.sparkContext.broadcast(items), k == n - 1
 
 
 def find_contamination(
@@ -140,10 +154,10 @@ def find_contamination(
 ) -> DataFrame:
     """One row per (document, item) that match: distance, and the code points that match."""
     out = None
-    for block in _blocks(benchmark, rate, min_chars, block_bytes):
+    for block, last in _blocks(benchmark, block_bytes):
 
         def run(batches, block=block):
-            matcher = Matcher(block.value, rate)
+            matcher = Matcher(block.value, rate, min_chars)
             for batch in batches:
                 rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)) if text.is_valid for hit in matcher.search(text.as_py())]
                 if rows:
@@ -151,20 +165,26 @@ def find_contamination(
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "item_id", "distance", "item_chars", "start", "end"])
 
         hits = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, HITS)
+        if not last:  # one block at a time is in memory
+            hits = materialize(hits, "hits")
+            block.destroy()
         out = hits if out is None else out.unionByName(hits)
-    return docs.sparkSession.createDataFrame([], HITS) if out is None else out
+    return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_chars: int = 40, block_bytes: int = 8 << 20, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item."""
     at = docs.columns.index(text_col)
-    for block in _blocks(benchmark, rate, min_chars, block_bytes):
+    for block, last in _blocks(benchmark, block_bytes):
 
         def run(batches, block=block):
-            matcher = Matcher(block.value, rate)
+            matcher = Matcher(block.value, rate, min_chars)
             for batch in batches:
                 clean = [not text.is_valid or next(matcher.search(text.as_py()), None) is None for text in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = materialize(docs, "clean")
+            block.destroy()
     return docs

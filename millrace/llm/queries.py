@@ -97,28 +97,37 @@ w AS (
 
 
 def _sql6() -> str:
-    slack = {"symbol_ratio": 0.25, "dup_line_ratio": 0.5, "mean_word": 4.0}
-    level = {"g": "coalesce(lang, ''), coalesce(source, '')", "l": "coalesce(lang, '')", "a": "1"}
+    metrics, ranks, lang, source = ("symbol_ratio", "dup_line_ratio", "mean_word"), (0.25, 0.75), "coalesce(lang, '')", "coalesce(source, '')"
+    keys = {"g": {"k_lang": lang, "k_source": source}, "l": {"k_lang": lang}, "a": {}}
     parts = []
-    for name, keys in level.items():
+    for name, by in keys.items():
         # the value at rank ceil(q * n) of each group, as the sketch returns it while it holds every value
-        ranked = ", ".join(f"row_number() OVER (PARTITION BY {keys} ORDER BY {m}) AS r_{m}" for m in slack)
-        picks = ", ".join(f"max({m}) FILTER (r_{m} = greatest(1, ceil({q} * n))) AS {name}_{m}_{i}" for m in slack for i, q in ((0, 0.25), (1, 0.75)))
+        over = f"PARTITION BY {', '.join(by.values())}" if by else ""
+        ranked = ", ".join(f"row_number() OVER ({over} ORDER BY {m}) AS r_{m}, count({m}) OVER ({over}) AS n_{m}" for m in metrics)
+        pick = lambda m, q: f"max({m}) FILTER (r_{m} = greatest(1, ceil({q} * n_{m})))"
+        picks = ", ".join(f"{pick(m, q)} AS {m}_{i}" for m in metrics for i, q in enumerate(ranks))
+        named = "".join(f"{expr} AS {k}, " for k, expr in by.items())
+        sides = ", ".join(f"{m}_0 AS {name}_low_{m}, {m}_1 AS {name}_high_{m}, {m}_1 - {m}_0 AS {name}_w_{m}" for m in metrics)
+        kept = "".join(f"{k}, " for k in by)
         parts.append(
-            f"{name}_r AS (SELECT *, {ranked}, count(*) OVER (PARTITION BY {keys}) AS n FROM b WHERE NOT base_failed), "
-            f"{name}_q AS (SELECT {'' if name == 'a' else keys.replace('coalesce(lang, ' + chr(39) * 2 + ')', 'coalesce(lang, ' + chr(39) * 2 + ') AS k_lang').replace('coalesce(source, ' + chr(39) * 2 + ')', 'coalesce(source, ' + chr(39) * 2 + ') AS k_source') + ', '}any_value(n) AS {name}_n, {picks} FROM {name}_r GROUP BY ALL)"
+            f"{name}_r AS (SELECT *, {ranked} FROM b WHERE NOT base_failed), "
+            f"{name}_p AS (SELECT {named}CAST(count(*) AS DOUBLE) AS {name}_n, {picks} FROM {name}_r GROUP BY ALL), "
+            f"{name}_q AS (SELECT {kept}{name}_n, {sides} FROM {name}_p)"
         )
-    pick = lambda m, i: f"CASE WHEN g_n >= 50 THEN g_{m}_{i} WHEN l_n >= 50 THEN l_{m}_{i} ELSE a_{m}_{i} END"
+    drawn = lambda own, wider, n: f"({wider} + {n} / ({n} + 50.0::DOUBLE) * ({own} - {wider}))"
     checks = []
-    for m, s in slack.items():
-        width = f"greatest(3.0 * ({pick(m, 1)} - {pick(m, 0)}), {s})"
-        inside = f"{m} <= {pick(m, 1)} + {width}" + (f" AND {m} >= {pick(m, 0)} - {width}" if m == "mean_word" else "")
+    for m in metrics:
+        quartile = lambda k: drawn(f"g_{k}_{m}", drawn(f"l_{k}_{m}", f"a_{k}_{m}", "l_n"), "g_n")  # noqa: B023, E731
+        width = f"3.0::DOUBLE * greatest(g_w_{m}, l_w_{m}, a_w_{m})"
+        count = {"symbol_ratio": "n_symbols", "dup_line_ratio": "n_dup_lines"}.get(m)
+        trials = {"symbol_ratio": "n_words", "dup_line_ratio": "n_lines"}.get(m)
+        inside = f"{count} <= ({quartile('high')} + {width}) * {trials} + 3.0::DOUBLE" if count else f"{m} BETWEEN {quartile('low')} - {width} AND {quartile('high')} + {width}"
         checks.append(f"(g_n IS NULL OR coalesce({inside}, true))")
     return f"""
 WITH {_SQL6_MEASURED}, {", ".join(parts)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(checks)} AS kept
-FROM b LEFT JOIN g_q ON coalesce(lang, '') = g_q.k_lang AND coalesce(source, '') = g_q.k_source
-LEFT JOIN l_q ON coalesce(lang, '') = l_q.k_lang LEFT JOIN a_q ON true
+FROM b LEFT JOIN g_q ON {lang} = g_q.k_lang AND {source} = g_q.k_source
+LEFT JOIN l_q ON {lang} = l_q.k_lang LEFT JOIN a_q ON true
 """
 
 

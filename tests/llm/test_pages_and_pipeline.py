@@ -73,7 +73,7 @@ def test_url_rules_and_terms(spark):
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
-    from test_text_operators import base_counts, near_by_brute_force
+    from test_text_operators import base_counts, lines_removed_by_brute_force, near_by_brute_force
 
     rows = list(dict(documents()).items())
     item = "What is the capital city of the country that lies between the two great rivers of the north?"
@@ -92,7 +92,13 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     before, after = seen["quality rules"]
     assert {r["doc_id"] for r in after} <= {d for d, t in before.items() if not base_counts(t)[-1]} and len(after) > 40
     before, after = seen["line dedup"]
-    assert sorted(r["doc_id"] for r in after) == sorted(before) and all(r["n_chars"] == len(r["text"]) for r in after)
+    gone, left = lines_removed_by_brute_force(list(before.items())), {}
+    for d, t in before.items():
+        lines = [x for i, x in enumerate(t.split("\n")) if (d, i) not in gone]
+        if any(x.strip() for x in lines):
+            left[d] = "\n".join(lines)
+    assert {r["doc_id"]: r["text"] for r in after} == left and len(left) < len(before)
+    assert all(r["n_chars"] == len(r["text"]) for r in after)
     before, after = seen["near dedup"]
     assert {r["doc_id"] for r in after} == {d for d, (_, _, keep) in near_by_brute_force(list(before.items())).items() if keep}
     before, after = seen["decontamination"]

@@ -68,6 +68,9 @@ def test_decontamination(spark):
     edited = item.replace("capital", "Capitel").replace("two great", "two  great").replace("north?", "nort?")
     other = "An entirely different question about the properties of prime numbers and of their distribution"
     bench = spark.createDataFrame([(1, item), (2, other), (3, None), (4, ""), (5, "short one"), (1, item)], "item_id long, text string")
+    few = [(1, "a Short  one"), (2, "a SHORT one."), (3, "short ones"), (4, "xshort one, short one"), (5, None), (6, "y " * 60_000 + "short one")]
+    short = decontaminate.find_contamination(spark.createDataFrame(few, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["start"]) for r in short) == [(2, 5, 2), (4, 5, 12), (6, 5, 120_000)]
     rows = [*documents(), (9001, f"abc {item} def"), (9002, f"xx\n{edited.upper()}\nyy"), (9003, item[:40] + " and then something else altogether " + item[60:]), (9004, other[:-2])]
     found = decontaminate.find_contamination(frame(spark, rows), bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(9001, 1), (9002, 1), (9004, 2)}
@@ -86,30 +89,6 @@ def test_decontamination(spark):
 # ---- op4
 
 
-def bit_parallel_distance(a, b):
-    """Edit distance of whole strings, a column at a time."""
-    m, masks = len(a), {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
-    full, up, down, score = (1 << m) - 1, (1 << m) - 1, 0, m
-    for c in b:
-        eq = masks.get(c, 0)
-        cross = eq | down
-        across = (((eq & up) + up) ^ up) | eq
-        plus, minus = down | (full & ~(across | up)), up & across
-        score += (plus >> m - 1 & 1) - (minus >> m - 1 & 1)
-        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
-        up, down = minus | (full & ~(cross | plus)), plus & cross
-    return score
-
-
-def test_bit_parallel_distance():
-    rng = np.random.default_rng(6)
-    for _ in range(200):
-        a, b = ("".join("abc"[i] for i in rng.integers(0, 3, int(rng.integers(1, 15)))) for _ in range(2))
-        assert bit_parallel_distance(a, b) == edit_distance(a, b)
-
-
 def removed_by_brute_force(rows):
     raw = [(d, (t or "").encode()) for d, t in rows]
     first = {}
@@ -192,13 +171,12 @@ def test_adaptive_rules(spark):
 
 
 def test_adaptive_thresholds_follow_the_group(spark):
-    rows = [(i, "en", "plain", f"{'word ' * 0}" + " ".join(f"tok{i}x{k}" for k in range(40))) for i in range(100)]
-    rows += [(200 + i, "en", "marked", " ".join(f"#tok{i}x{k}" for k in range(40))) for i in range(100)]  # symbols are normal there
+    rows = [(i, "en", "plain", f"{'word ' * 0}" + " ".join(f"tok{i}x{k}" for k in range(40))) for i in range(300)]
+    rows += [(400 + i, "en", "marked", " ".join(f"#tok{i}x{k}" for k in range(40))) for i in range(100)]  # symbols are normal there
     rows += [(900, "en", "plain", " ".join(f"#tok{k}y$" for k in range(40)))]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
     kept = {r["doc_id"]: r["kept"] for r in adaptive_rules.adaptive_verdict(docs).collect()}
     assert not kept[900] and all(k for d, k in kept.items() if d != 900)
-    assert adaptive_rules.adaptive_verdict(docs, broadcast_groups=0).filter("NOT kept").count() == 1
     assert sorted(r["doc_id"] for r in adaptive_rules.keep_passing(docs).collect()) == sorted(d for d in kept if d != 900)
 
 
@@ -383,7 +361,7 @@ def test_bit_parallel_distance():
         assert bit_parallel_distance(a, b) == edit_distance(a, b)
 
 
-def removed_by_brute_force(rows, similarity=0.85, min_words=5):
+def lines_removed_by_brute_force(rows, min_words=5):
     """(lines to remove, distinct lines that some link holds): edit similarity of all pairs of distinct lines."""
     groups = {}
     for doc, text in sorted((d, t) for d, t in dict(rows).items() if d is not None and t is not None):
@@ -419,7 +397,7 @@ def test_fuzzy_lines(spark, crowd, hot, line_bits):
     rows = documents() + variants
     docs = frame(spark, rows)
     got = fuzzy_lines.drop_duplicate_lines(docs, crowd=crowd, hot=hot, line_bits=line_bits)
-    gone = removed_by_brute_force(rows)
+    gone = lines_removed_by_brute_force(rows)
     assert len(gone) > 40
     for r in got.collect():
         text = dict(rows)[r["doc_id"]]
