@@ -6,19 +6,27 @@ their neighbouring words and features of the file, and is decoded by Viterbi.
 
 Tokens of at least ``MIN_TOKEN`` characters may carry B or I if they hold a digit,
 a capital after a small letter or ``MANY`` distinct characters, follow a cue word in
-their line, or touch such a token; all other tokens are outside. The chain
+their line, or touch such a token; so may tokens of ``MIN_CUED`` characters that
+hold a digit and follow a cue word. All other tokens are outside. The chain
 runs over the admissible tokens of a line; I needs exactly one character to
-the token before. The field is trained here on generated lines.
+the token before. Features see whole tokens and the three whole words before
+them. The field is trained on generated lines by this module (run
+``python -m millrace.llm.secret_crf`` to write ``secret_crf.json`` anew); scans
+read the weights from that file.
 
 Defined results: null text is empty and has no spans; offsets are code points;
-repeated rows are scanned one by one; an empty table yields no rows.
+spans that begin together are ordered as the kinds are listed; texts of any length
+are scanned whole; repeated rows are scanned one by one; an empty table yields no
+rows; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 import re
+from collections import Counter
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +40,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-MIN_TOKEN = 8
-TOKEN = re.compile(r"[A-Za-z0-9+/_.-]{8,}")
+MIN_TOKEN, MIN_CUED = 8, 6
+TOKEN = re.compile(r"[A-Za-z0-9+/_.-]{6,}")
+WEIGHTS = Path(__file__).with_name("secret_crf.json")
 PLAIN = re.compile("[A-Za-z]?[a-z]+")
 ODD = re.compile("[0-9]|[a-z][A-Z]")
 MANY = 12  # fewer distinct characters have an entropy below 3.5 bits
@@ -45,7 +54,7 @@ STATES = ("O", "B", "I")
 FEATURES = (
     "bias", "hex", "has_upper", "has_lower", "mixed", "digits_low", "digits_mid", "digits_all", "len_12", "len_16", "len_24", "len_32",
     "entropy_3", "entropy_35", "entropy_4", "changes", "dashes", "dots", "prefix", "at_sign", "cue_left", "false_cue_left", "assigned", "quoted",
-    "glued", "no_digit", "inner_case", "plain", "cued_value", "file_code", "file_cue", "file_many",
+    "glued", "no_digit", "inner_case", "plain", "cued_value", "cued_digit", "file_code", "file_cue", "file_many",
 )
 INNER = re.compile("[a-z](?=[A-Z])")
 PREFIX = re.compile(r"(ghp|gho|sk|pk|xox[bpas]|eyJ|AKIA|AIza|glpat|hf|rk|ya29)[_A-Za-z0-9-]")
@@ -70,12 +79,12 @@ def admissible(text: str) -> list[tuple[int, int]]:
     c = 0
     for m in TOKEN.finditer(text):
         token = m[0].rstrip(".-/")  # of the sentence, not of the token
-        if len(token) < MIN_TOKEN:
-            continue
         start = m.start()
         while c < len(cues) and cues[c] <= start:
             c += 1
         cued = c and start - cues[c - 1] <= 40 and "\n" not in text[cues[c - 1] : start]
+        if len(token) < MIN_TOKEN and not (cued and len(token) >= MIN_CUED and any(x.isdigit() for x in token)):
+            continue
         tokens.append((start, start + len(token)))
         odd.append(bool(cued or ODD.search(token) or len(set(token)) >= MANY))
     touch = [j > 0 and a - tokens[j - 1][1] == 1 and not text[a - 1].isspace() for j, (a, _) in enumerate(tokens)]
@@ -90,23 +99,35 @@ def file_features(text: str, n_tokens: int) -> tuple[float, float, float]:
     return float(bool(CODE.search(text))), float(any(k in text.lower() for k in KEYWORDS)), float(n_tokens * 200 > len(text))
 
 
+def words_before(text: str, start: int, many: int = 3) -> str:
+    """The last ``many`` words of the line before ``start``, whole, and the characters up to it."""
+    at = start
+    for _ in range(many):
+        while at and text[at - 1] in " \t":
+            at -= 1
+        if not at or text[at - 1] == "\n":
+            break
+        at = max(text.rfind(x, 0, at) for x in " \t\n") + 1
+    return text[at:start]
+
+
 def token_features(text: str, start: int, end: int, glued: bool, of_file: tuple[float, float, float]) -> list[float]:
     """Shape, neighbouring words and file features of one token, in the order of FEATURES."""
-    token = text[start : min(end, start + 256)]
+    token = text[start:end]
     n = len(token)
-    digits = sum(c.isdigit() for c in token)
-    upper, lower = any(c.isupper() for c in token), any(c.islower() for c in token)
-    counts = np.array([token.count(c) for c in set(token)]) / n
+    seen = Counter(token)
+    digits = sum(k for c, k in seen.items() if c.isdigit())
+    upper, lower = any(c.isupper() for c in seen), any(c.islower() for c in seen)
+    counts = np.array(list(seen.values())) / n
     entropy = float(-(counts * np.log2(counts)).sum())
     changes = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]))
-    left = text[max(0, start - 40) : start]
-    near = " ".join(left.split()[-3:])
+    near = left = words_before(text, start)
     bare = left.rstrip(" \"'`")
     flags = (
-        True, all(c in "0123456789abcdefABCDEF-" for c in token), upper, lower, upper and lower, digits / n < 0.15, 0.15 <= digits / n < 0.7, digits / n >= 0.9,
+        True, all(c in "0123456789abcdefABCDEF-" for c in seen), upper, lower, upper and lower, digits / n < 0.15, 0.15 <= digits / n < 0.7, digits / n >= 0.9,
         n >= 12, n >= 16, n >= 24, n >= 32, entropy >= 3, entropy >= 3.5, entropy >= 4, changes >= 4, token.count("-") + token.count("/") >= 2, token.count(".") >= 2,
         bool(PREFIX.match(token)), left[-1:] == "@" or text[end : end + 1] == "@", bool(CUE.search(near)), bool(FALSE_CUE.search(near)), bare[-1:] in (":", "="), left[-1:] in ("'", '"', "`"), glued,
-        not digits, len(INNER.findall(token)) >= 3, bool(PLAIN.fullmatch(token)), bool(CUE.search(near)) and bare[-1:] in (":", "="),
+        not digits, len(INNER.findall(token)) >= 3, bool(PLAIN.fullmatch(token)), bool(CUE.search(near)) and bare[-1:] in (":", "="), bool(CUE.search(near)) and digits > 0,
     )
     return [*map(float, flags), *of_file]
 
@@ -187,6 +208,9 @@ def training_lines(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]
             cue = pick(["password", "secret", "token", "api key", "auth", "Bearer", "private key", "credentials", "access_key", "pwd", ""])
             joint = pick([": ", "=", " = ", ' = "', ": '", " ", " is "])
             parts = [pick([pick(["ghp_", "sk-", "glpat-", "xoxb-", "AKIA", "", ""]) + draw(alnum, int(rng.integers(16, 44))) + draw(digits, 2), draw(hexes, int(rng.integers(20, 64))) + "7"])]
+            if rng.random() < 0.3:  # a short word and digits
+                cue = cue or "password"
+                parts = [draw("etaoinshrdlu", int(rng.integers(4, 9))) + draw(digits, int(rng.integers(1, 4)))]
             if rng.random() < 0.4:  # without a digit
                 cue = cue or "passphrase"
                 mixed = lambda: "".join(draw(letters[i % 2], 1) for i in range(int(rng.integers(14, 30))))  # noqa: B023, E731
@@ -221,6 +245,9 @@ def training_lines(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]
                 ]
             )()
             out.append((f"{lead} {other} {tail}", []))
+        if len(out) > 1 and rng.random() < 0.25:  # two on a line
+            (a, of_a), (b, of_b) = out.pop(), out.pop()
+            out.append((f"{a}, {b}", of_a + [(x + len(a) + 2, y + len(a) + 2) for x, y in of_b]))
     return out
 
 
@@ -253,6 +280,12 @@ def trained(n_lines: int = 2000, seed: int = 11, steps: int = 150, l2: float = 1
     return theta[0], theta[1] + never[0], theta[2] + never[1]
 
 
+@lru_cache(maxsize=1)
+def shipped():
+    """(w, move, begin) as ``trained`` found them."""
+    return tuple(np.array(x) for x in json.loads(WEIGHTS.read_text()))
+
+
 def crf_spans(text: str, model) -> list[tuple[str, int, int]]:
     """Spans from each B to the last I after it."""
     w, move, begin = model
@@ -272,7 +305,7 @@ def joined(spans) -> str:
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, secrets array<struct<kind, start, end>>) of each row, in order of start and kind."""
-    model = trained()
+    model = shipped()
 
     def run(batches):
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -290,3 +323,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def span_digest(spans):
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+if __name__ == "__main__":
+    WEIGHTS.write_text(json.dumps([np.round(x, 6).tolist() for x in trained()]))
