@@ -311,8 +311,8 @@ def test_secret_tokens_are_seen_whole():
     assert secret_crf.token_features(long_token, 0, len(long_token), False, (0.0, 0.0, 0.0))[secret_crf.FEATURES.index("has_upper")] == 1.0
     wide = "the private " + "k" * 90 + "ey is: "
     assert secret_crf.words_before("x\n" + wide, len(wide) + 2) == wide[4:]
-    text = "my password is hunter2 now, and the token: Zx9kQ2mB7vN4tR8w"
-    assert {text[a:b] for _, a, b in secret_crf.crf_spans(text, secret_crf.shipped())} >= {"hunter2", "Zx9kQ2mB7vN4tR8w"}
+    text = "my password is hunter29 now, and the token: Zx9kQ2mB7vN4tR8w"
+    assert {text[a:b] for _, a, b in secret_crf.crf_spans(text, secret_crf.shipped())} >= {"hunter29", "Zx9kQ2mB7vN4tR8w"}
 
 
 def test_shipped_weights_are_those_of_training():
