@@ -4,8 +4,8 @@ Each rule's cutoff comes from quantile sketches per language and source:
 partial sketches merge before the shuffle, so a hot source costs one small
 sketch per task. A fence lies three times the distance of the quartiles beyond
 them, so it holds while a quarter of a group is bad. The distance is at least
-that of the group's language and of all rows, as groups of copies have none of
-their own; quartiles are drawn to those of the language, and these to those of
+the median of those of the language's groups and of all groups, as groups of
+copies have none of their own; quartiles are drawn to those of the language, and these to those of
 all rows, the more the fewer rows a group has. Metrics that count are granted
 ``SLIPS`` occurrences beyond their fence, as one symbol in a text is no rate. No
 constant is in a metric's own unit. Built of DataFrame functions only.
@@ -162,9 +162,15 @@ def adaptive_verdict(
     keep = list(dict.fromkeys([*keys, *groups]))
     measured = materialize(measure(docs, keep, text_col), "measured")
     table = materialize(thresholds(measured, groups), "thresholds")
-    everything = table.filter("level = 3").select(*[spread(F.col(m)).alias(f"all_{m}") for m in METRICS])
+    # the median width of groups, of a language and of all: sketches over one row per group
+    widths = table.filter("level = 0").select("g_lang", *[(F.col(m)[1] - F.col(m)[0]).alias(m) for m in METRICS])
+    medians = [F.percentile_approx(m, 0.5, 10000).alias(f"width_{m}") for m in METRICS]
+    of_lang, of_all = widths.groupBy(F.col("g_lang").alias("w_lang")).agg(*medians), widths.agg(*medians)
+    usual = lambda m: F.struct(F.col(m)[0].alias("low"), F.col(m)[1].alias("high"), F.col(f"width_{m}").alias("width"))
+    everything = table.filter("level = 3").crossJoin(F.broadcast(of_all)).select(*[usual(m).alias(f"all_{m}") for m in METRICS])  # one row each
     by_lang = table.filter("level = 1").crossJoin(F.broadcast(everything))  # one row
-    by_lang = by_lang.select(F.col("g_lang").alias("l_lang"), *[_drawn(spread(F.col(m)), F.col(f"all_{m}"), F.col("group_rows"), weight).alias(f"l_{m}") for m in METRICS])
+    by_lang = by_lang.join(of_lang, F.col("g_lang") == F.col("w_lang"))
+    by_lang = by_lang.select(F.col("g_lang").alias("l_lang"), *[_drawn(usual(m), F.col(f"all_{m}"), F.col("group_rows"), weight).alias(f"l_{m}") for m in METRICS])
     by_group = table.filter("level = 0").join(by_lang, F.col("g_lang") == F.col("l_lang"))
     drawn = {m: _drawn(spread(F.col(m)), F.col(f"l_{m}"), F.col("group_rows"), weight) for m in METRICS}
     by_group = by_group.select("g_lang", "g_source", *[c for m, x in drawn.items() for c in ((x["low"] - fence * x["width"]).alias(f"low_{m}"), (x["high"] + fence * x["width"]).alias(f"high_{m}"))])

@@ -114,11 +114,15 @@ def _sql6() -> str:
             f"{name}_p AS (SELECT {named}CAST(count(*) AS DOUBLE) AS {name}_n, {picks} FROM {name}_r GROUP BY ALL), "
             f"{name}_q AS (SELECT {kept}{name}_n, {sides} FROM {name}_p)"
         )
+    for name, by in (("lw", "PARTITION BY k_lang"), ("aw", "")):
+        ranked = ", ".join(f"g_w_{m}, row_number() OVER ({by} ORDER BY g_w_{m}) AS r_{m}" for m in metrics)
+        middle = ", ".join(f"max(g_w_{m}) FILTER (r_{m} = ceil(0.5 * n)) AS {name[0]}_w_{m}" for m in metrics)
+        parts.append(f"{name} AS (SELECT {'k_lang, ' if by else ''}{middle} FROM (SELECT k_lang, {ranked}, count(*) OVER ({by}) AS n FROM g_q) GROUP BY ALL)")
     drawn = lambda own, wider, n: f"({wider} + {n} / ({n} + 50.0::DOUBLE) * ({own} - {wider}))"
     checks = []
     for m in metrics:
         quartile = lambda k: drawn(f"g_{k}_{m}", drawn(f"l_{k}_{m}", f"a_{k}_{m}", "l_n"), "g_n")  # noqa: B023, E731
-        width = f"3.0::DOUBLE * greatest(g_w_{m}, l_w_{m}, a_w_{m})"
+        width = f"3.0::DOUBLE * greatest(g_w_{m}, lw.l_w_{m}, aw.a_w_{m})"
         count = {"symbol_ratio": "n_symbols", "dup_line_ratio": "n_dup_lines"}.get(m)
         trials = {"symbol_ratio": "n_words", "dup_line_ratio": "n_lines"}.get(m)
         inside = f"{count} <= ({quartile('high')} + {width}) * {trials} + 3.0::DOUBLE" if count else f"{m} BETWEEN {quartile('low')} - {width} AND {quartile('high')} + {width}"
@@ -127,7 +131,7 @@ def _sql6() -> str:
 WITH {_SQL6_MEASURED}, {", ".join(parts)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(checks)} AS kept
 FROM b LEFT JOIN g_q ON {lang} = g_q.k_lang AND {source} = g_q.k_source
-LEFT JOIN l_q ON {lang} = l_q.k_lang LEFT JOIN a_q ON true
+LEFT JOIN l_q ON {lang} = l_q.k_lang LEFT JOIN a_q ON true LEFT JOIN lw ON {lang} = lw.k_lang LEFT JOIN aw ON true
 """
 
 
