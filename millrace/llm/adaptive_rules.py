@@ -149,7 +149,7 @@ def adaptive_verdict(
     text_col: str = "text",
     groups: tuple[str, str] = ("lang", "source"),
     fence: float = 3.0,
-    weight: float = 50.0,
+    weight: float = 5.0,
 ) -> DataFrame:
     """``keys``, the base counts, ``base_failed`` and ``kept`` of each row.
 

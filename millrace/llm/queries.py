@@ -118,7 +118,7 @@ def _sql6() -> str:
         ranked = ", ".join(f"g_w_{m}, row_number() OVER ({by} ORDER BY g_w_{m}) AS r_{m}" for m in metrics)
         middle = ", ".join(f"max(g_w_{m}) FILTER (r_{m} = ceil(0.5 * n)) AS {name[0]}_w_{m}" for m in metrics)
         parts.append(f"{name} AS (SELECT {'k_lang, ' if by else ''}{middle} FROM (SELECT k_lang, {ranked}, count(*) OVER ({by}) AS n FROM g_q) GROUP BY ALL)")
-    drawn = lambda own, wider, n: f"({wider} + {n} / ({n} + 50.0::DOUBLE) * ({own} - {wider}))"
+    drawn = lambda own, wider, n: f"({wider} + {n} / ({n} + 5.0::DOUBLE) * ({own} - {wider}))"
     checks = []
     for m in metrics:
         quartile = lambda k: drawn(f"g_{k}_{m}", drawn(f"l_{k}_{m}", f"a_{k}_{m}", "l_n"), "g_n")  # noqa: B023, E731

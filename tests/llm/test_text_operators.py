@@ -171,8 +171,8 @@ def test_adaptive_rules(spark):
 
 
 def test_adaptive_thresholds_follow_the_group(spark):
-    rows = [(i, "en", "plain", " ".join(f"tok{i}x{k}" for k in range(40))) for i in range(100, 400)]
-    rows += [(400 + i, "en", "marked", " ".join(f"#tok{100 + i}x{k}" for k in range(40))) for i in range(100)]  # symbols are normal there
+    rows = [(i, "en", "plain", " ".join(f"tok{'a' * (i % 4)}{i}x{k}" for k in range(40))) for i in range(100, 400)]
+    rows += [(400 + i, "en", "marked", " ".join(f"#tok{'a' * (i % 4)}{100 + i}x{k}" for k in range(40))) for i in range(100)]  # symbols are normal there
     rows += [(900, "en", "plain", " ".join(f"#tok{k}y$" for k in range(40)))]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
     kept = {r["doc_id"]: r["kept"] for r in adaptive_rules.adaptive_verdict(docs).collect()}
