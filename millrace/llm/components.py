@@ -30,11 +30,11 @@ WIDTHS = {"bigint": 8, "double": 8, "int": 4, "boolean": 1}
 def size_checked(df: DataFrame, limit: int = SMALL) -> DataFrame:
     """``df`` marked for broadcast if its values have at most ``limit`` bytes; else as it is, for a shuffled join.
 
-    Numbers count by their width, strings by their length, and arrays of
-    numbers by 8 bytes an element; a row counts as 8 bytes besides.
+    Numbers count by their width, strings by their length, and arrays by 8
+    bytes for each number in an element; a row counts as 8 bytes besides.
     """
     fixed = 8 + sum(WIDTHS.get(t, 0) for _, t in df.dtypes)
-    length = lambda c, t: F.coalesce(8 * F.size(c) if t.startswith("array") else F.octet_length(c), F.lit(0))
+    length = lambda c, t: F.coalesce(8 * max(1, t.count(":")) * F.size(c) if t.startswith("array") else F.octet_length(c), F.lit(0))
     wide = [F.sum(length(F.col(c), t)) for c, t in df.dtypes if t not in WIDTHS]
     n, *lengths = df.agg(F.count(F.lit(1)), *wide).first()
     return F.broadcast(df) if n * fixed + sum(x or 0 for x in lengths) <= limit else df
