@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_rules, decontaminate, fuzzy_lines, length_packing, minhash_bayes, pairwise_quality, secret_crf, suffix_dedup, url_vocabulary, warc_revisit
+from . import adaptive_rules, decontaminate, digest_index, fuzzy_lines, length_packing, lexical_search, minhash_bayes, pairwise_quality, secret_crf, suffix_dedup, url_vocabulary, vector_codes, warc_revisit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -166,6 +166,89 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.drop_duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_table(table(spark, sf_dir, "embeddings"))
+
+
+def _sql11(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Brute force: every part against every entry; inner products of integers below 2**53 are exact in doubles."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"a{i} AS MATERIALIZED (SELECT p.vec_id, p.label, p.k, p.x, min(struct_pack(d := p.n2 - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x), c := b.c)) AS best "
+            f"FROM parts p JOIN b{i} b ON p.k = b.k GROUP BY p.vec_id, p.label, p.k, p.x)"
+        )
+        if i < rounds:
+            steps.append(
+                f"s{i} AS (SELECT k, best.c AS c, unnest(x) AS v, unnest(range(len(x))) AS pos FROM a{i}), "
+                f"m{i} AS (SELECT k, c, pos, floor(sum(v) / count(*)) AS v FROM s{i} GROUP BY k, c, pos), "
+                f"n{i} AS (SELECT k, c, list(v ORDER BY pos) AS x FROM m{i} GROUP BY k, c), "
+                f"b{i + 1} AS MATERIALIZED (SELECT b.k, b.c, coalesce(n.x, b.x) AS x FROM b{i} b LEFT JOIN n{i} n ON b.k = n.k AND b.c = n.c)"
+            )
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda y: floor(1024 * CAST(y AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+), w AS (
+  SELECT vec_id, label, k, e[k * len(e) // {parts} + 1:(k + 1) * len(e) // {parts}] AS x FROM v, range({parts}) AS t(k)
+), parts AS MATERIALIZED (
+  SELECT *, list_inner_product(x, x) AS n2 FROM w
+), b0 AS (
+  SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS c, x FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries})
+), {", ".join(steps)}, coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best.c), '' ORDER BY k) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label
+), digest AS (
+  SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY k, c, pos)) AS codebooks_sha256
+  FROM (SELECT k, c, unnest(x) AS v, unnest(range(len(x))) AS pos FROM b{rounds})
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, digest
+"""
+
+
+def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = digest_index.deduplicate(table(spark, sf_dir, "documents"))
+    return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+SQL12 = r"""
+WITH d AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256, length(coalesce(text, '')) AS n FROM documents
+), g AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+"""
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+SQL13 = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), p AS (
+  SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term
+), d AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id
+), s AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, n_docs
+), m AS (
+  SELECT doc_id, 100 - 50 + (50 * n * n_docs) // n_terms AS m FROM d, s
+), r AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM i JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+), k AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc_revisit": op2_warc_revisit,
@@ -177,5 +260,8 @@ QUERIES = {
     "op8_length_packing": op8_length_packing,
     "op9_secret_crf": op9_secret_crf,
     "op10_fuzzy_lines": op10_fuzzy_lines,
+    "op11_annular_codes": op11_annular_codes,
+    "op12_digest_index": op12_digest_index,
+    "op13_lexical_search": op13_lexical_search,
 }
-ORACLES = {"op2_warc_revisit": SQL2, "op3_url_vocabulary": _sql3(), "op6_adaptive_rules": _sql6()}
+ORACLES = {"op2_warc_revisit": SQL2, "op3_url_vocabulary": _sql3(), "op6_adaptive_rules": _sql6(), "op11_annular_codes": _sql11(), "op12_digest_index": SQL12, "op13_lexical_search": SQL13}
