@@ -71,8 +71,8 @@ def ranking_scores(df: DataFrame, y: str, score: str) -> DataFrame:
     return steps.agg(F.round(F.try_divide(F.sum("roc"), p * q), 6).alias("roc_auc"), F.round(F.try_divide(F.sum("pr"), p), 6).alias("pr_auc"), F.round(F.try_divide(F.sum("ap"), p), 6).alias("average_precision"))
 
 
-def regression_scores(df: DataFrame, y: str, prediction: str, by: list[str] | None = None) -> DataFrame:
-    """MAE, MSE, RMSE, R2, MAPE and sMAPE; MAPE is null if an actual is about 0, R2 if it has no meaning."""
+def regression_scores(df: DataFrame, y: str, prediction: str, by: list[str] | None = None, digits: int | None = 6) -> DataFrame:
+    """MAE, MSE, RMSE, R2, MAPE and sMAPE, rounded unless ``digits`` is None; MAPE is null if an actual is about 0, R2 if it has no meaning."""
     a, p = F.col(y).cast("double"), F.col(prediction).cast("double")
     e, size = a - p, F.abs(a) + F.abs(p)
     sst = F.var_pop(a) * F.count(a)
@@ -80,7 +80,7 @@ def regression_scores(df: DataFrame, y: str, prediction: str, by: list[str] | No
     r2 = F.when((F.count(a) >= 2) & (sst > 1e-9), 1 - F.try_divide(F.sum(e * e), sst))
     smape = 100 * F.avg(F.when(size > 1e-9, 2 * F.abs(e) / size).otherwise(0.0))
     named = {"mae": F.avg(F.abs(e)), "mse": F.avg(e * e), "rmse": F.sqrt(F.avg(e * e)), "r2": r2, "mape": mape, "smape": smape}
-    return df.groupBy(*(by or [])).agg(*[F.round(v, 6).alias(k) for k, v in named.items()])
+    return df.groupBy(*(by or [])).agg(*[(v if digits is None else F.round(v, digits)).alias(k) for k, v in named.items()])
 
 
 def threshold_grid(df: DataFrame, y: str, p: str, points: int = 81) -> DataFrame:

@@ -169,10 +169,6 @@ def nonnegative(c: Column) -> Column:
     return F.greatest(c, F.lit(0.0))
 
 
-def reliability(n: Column, smape: Column) -> Column:
-    return F.when((n >= 60) & (smape <= 15), "High").when((n >= 24) & (smape <= 35), "Medium").otherwise("Low")
-
-
 def forecast_summary(forecast: DataFrame, series: DataFrame) -> DataFrame:
     """Total, mean and range of the forecast, and its change against as many periods before."""
     steps = forecast.agg(F.sum("prediction").alias("total"), F.avg("prediction").alias("average"), F.max("prediction").alias("highest"), F.min("prediction").alias("lowest"), F.count(F.lit(1)).alias("_k"))
@@ -184,6 +180,14 @@ def forecast_summary(forecast: DataFrame, series: DataFrame) -> DataFrame:
 FORECAST = "period timestamp, step int, prediction double"
 
 
+def calendar_step(frequency: str):
+    """The way from one period to the next, for pandas timestamps."""
+    import pandas as pd
+
+    unit, n = {"hourly": ("hours", 1), "daily": ("days", 1), "weekly": ("weeks", 1), "monthly": ("months", 1), "quarterly": ("months", 3)}[frequency]
+    return pd.DateOffset(**{unit: n})
+
+
 def forecast_linear(series: DataFrame, keys: list[str], frequency: str, horizon: int, ridge: float = 0.0) -> DataFrame:
     """Recursive forecasts by (ridge) regression on lags, rolling statistics and the calendar, one series per group.
 

@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import numeric, parse, text
 from millrace.operators import aggregates, cleaning, cohort, compare, filters, geo, joins, market, metrics, ordering, profiling, sampling, scoring, sets, textrules, timeseries, windows
 from millrace.plans import products
+from millrace.plans.registry import ORACLES, QUERIES, query, table
 from millrace.sources import sinks
 from millrace.streaming import feed
 
 FLAGSHIP = "agg4_grouping_sets"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL if SQL can express it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # ---- cleaning and parsing
@@ -1015,3 +996,6 @@ def p4_batch_scoring(spark, d):
     features = products.customer_features(tx, F.lit("2011-10-01"))
     p = scoring.boosted(_CUSTOMER_MODEL, [F.col("recency_days"), F.col("tenure_days"), F.col("orders_90d")])
     return products.score_customers(features, p)[1]
+
+
+from millrace.plans import forecast_queries  # noqa: E402, F401  (registers its queries here)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import parse
 from millrace.functions.numeric import line_amount, round_even
 from millrace.functions.text import MISSING_HEALTH, MISSING_MODEL, fold, norm_missing
-from millrace.operators import aggregates, cleaning, filters, profiling, scoring, textrules, timeseries
+from millrace.operators import aggregates, cleaning, filters, forecasting, profiling, scoring, textrules, timeseries
 from millrace.operators.windows import gap_features
 
 #: Statuses of cancelled or refunded orders, folded.
@@ -55,23 +55,12 @@ def prepare_series(df: DataFrame, time: str, value: str, frequency: str = "auto"
     return timeseries.densify(timeseries.period_sums(good, "ts", "value", frequency), frequency), frequency
 
 
-def forecast_sales(series: DataFrame, frequency: str, horizon: int = 30, floor_at_zero: bool = False) -> dict:
-    """Quality, trend, season, backtested ranking, and the best naive model's forecast with intervals."""
-    period = timeseries.PERIOD[frequency]
-    plan = timeseries.plan_for(series, horizon)
-    ranking = timeseries.rank_models(timeseries.backtest(series, plan, period)) if plan["folds"] else None
-    best = ranking.filter("rank = 1").first()["model"] if ranking is not None else "Naive Forecast"
-    last = series.agg(F.max("period").alias("p")).first()["p"]
-    future = timeseries.future_calendar(series.sparkSession, last, frequency, horizon)
-    back = period if best == "Seasonal Naive" else None
-    forecast = timeseries.naive(series, future, back)
-    moved = series.select((F.col("t") + (back or 1)).alias("t"), F.col("y").alias("p"))
-    residuals = series.select("t", "y").join(moved, "t").select((F.col("y") - F.col("p")).alias("residual"))
-    steps = plan["folds"][0]["validation_end"] - plan["folds"][0]["validation_start"] if plan["folds"] else 1
-    forecast = timeseries.intervals(forecast, residuals, steps)
-    if floor_at_zero:
-        forecast = forecast.withColumns({c: timeseries.nonnegative(F.col(c)) for c in ("prediction", "lower_80", "upper_80", "lower_95", "upper_95")})
-    return {"quality": timeseries.quality(series), "trend": timeseries.trend(series), "season": timeseries.season_correlations(series, frequency), "ranking": ranking, "model": best, "forecast": forecast, "summary": timeseries.forecast_summary(forecast, series)}
+def forecast_sales(series: DataFrame, frequency: str, horizon: int = 30, floor_at_zero: bool = False, models: tuple[str, ...] = forecasting.MODELS) -> dict:
+    """Quality, trend, season, the ranking of all models by rolling origin, and the best one's forecast with intervals."""
+    found = forecasting.forecast(series, frequency, horizon, models=models, floor_at_zero=floor_at_zero)
+    figures = {"quality": timeseries.quality(series), "trend": timeseries.trend(series), "season": timeseries.season_correlations(series, frequency)}
+    named = {k: found[k] for k in ("ranking", "status", "best", "forecast", "importance")}
+    return figures | named | {"model": found["best"].first()["model"], "summary": timeseries.forecast_summary(found["forecast"], series)}
 
 
 def transaction_reasons(decimal: str = "dot", order: str = "ISO", kind: str = "unit_price", rate: float = 1.0) -> tuple[list, dict[str, Column]]:

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import forecasting
 from millrace.plans import products
 
 
@@ -21,6 +22,9 @@ def test_forecast_flow(spark):
     series, frequency = products.prepare_series(spark.createDataFrame(rows, "d string, v string"), "d", "v")
     assert frequency == "daily" and series.count() == 120 and series.filter("is_missing").count() == 1
     out = products.forecast_sales(series, frequency, 14, floor_at_zero=True)
+    ranked = [r["model"] for r in out["ranking"].orderBy("rank").collect()]
+    assert sorted(ranked) == sorted(forecasting.MODELS) and out["model"] == ranked[0] and out["forecast"].count() == 14
+    out = products.forecast_sales(series, frequency, 14, floor_at_zero=True, models=(forecasting.NAIVE, forecasting.SEASONAL))
     assert out["model"] == "Seasonal Naive" and out["forecast"].count() == 14
     assert {r["prediction"] for r in out["forecast"].collect()} <= {100.0 + 20 * k for k in range(7)}
     assert out["summary"].first()["total"] > 0 and out["season"].filter("detected").count() > 0
