@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.numeric import coverage, is_finite
+from millrace.operators.quantiles import rows_of_sets, with_quantiles
 
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
@@ -27,7 +28,8 @@ def scoped_distribution(df: DataFrame, a: str, b: str, value: str, points: tuple
     """Counts, range and exact percentiles of the finite values over all rows, by a, by b, and by both."""
     ok = is_finite(F.col(value))
     finite = F.when(ok, F.col(value))
-    sets = df.groupingSets([[], [a], [b], [a, b]], a, b)
+    groups = [[], [a], [b], [a, b]]
+    sets = df.groupingSets(groups, a, b)
     scope = (
         F.when((F.grouping(a) == 1) & (F.grouping(b) == 1), "all").when((F.grouping(a) == 0) & (F.grouping(b) == 1), a).when(F.grouping(a) == 1, b).otherwise(f"{a}_and_{b}")
     )
@@ -38,9 +40,12 @@ def scoped_distribution(df: DataFrame, a: str, b: str, value: str, points: tuple
         F.count_if(F.col(value).isNotNull() & ~ok).alias("nonfinite_count"),
         F.count(finite).alias("finite_count"),
         F.min(finite).alias("min_value"),
-        F.percentile(finite, list(points)).alias("_p"),
         F.max(finite).alias("max_value"),
+        F.grouping(a).alias("_grouping0"),
+        F.grouping(b).alias("_grouping1"),
     )
+    rows, keys = rows_of_sets(df, [a, b], groups, finite)
+    out = with_quantiles(out, rows, keys, "_of_set", points)
     return out.select("scope", a, b, "n_rows", "undefined_count", "nonfinite_count", "finite_count", "min_value", "max_value", *[F.col("_p")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(points)])
 
 
@@ -52,8 +57,9 @@ def level_stats(df: DataFrame, levels: list[tuple[str, list[str]]], value: str,
         present = F.lit(True)
         for k in ks:
             present = present & F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != "")
-        aggs = [F.count(F.lit(1)).alias("n"), F.percentile(value, [0.25, 0.5, 0.75]).alias("_p")] + ([F.max(date).alias("latest")] if date else [])
-        part = df.filter(present).groupBy(*ks).agg(*aggs)
+        aggs = [F.count(F.lit(1)).alias("n")] + ([F.max(date).alias("latest")] if date else [])
+        rows = df.filter(present)
+        part = with_quantiles(rows.groupBy(*ks).agg(*aggs), rows, ks, value, (0.25, 0.5, 0.75))
         part = part.select(F.lit(name).alias("level"), *[(F.col(k).cast("string") if k in ks else F.lit("")).alias(k) for k in keys], "n", *[F.col("_p")[i].alias(p) for i, p in enumerate(("p25", "median", "p75"))], *(["latest"] if date else []))
         out = part if out is None else out.unionByName(part)
     return out.withColumn("coverage", coverage(F.col("n"), least))
@@ -64,8 +70,11 @@ def cube_with_blank(df: DataFrame, fixed: str, a: str, b: str, value: str, least
 
     Blank inputs are no group of their own, so '' never mixes with the totals.
     """
-    sets = df.groupingSets([[fixed], [fixed, a], [fixed, b], [fixed, a, b]], fixed, a, b)
-    out = sets.agg(F.count(F.lit(1)).alias("n"), F.percentile(value, [0.25, 0.5, 0.75]).alias("_p"), F.grouping(a).alias("_a"), F.grouping(b).alias("_b"))
+    groups = [[fixed], [fixed, a], [fixed, b], [fixed, a, b]]
+    sets = df.groupingSets(groups, fixed, a, b)
+    out = sets.agg(F.count(F.lit(1)).alias("n"), *[F.grouping(c).alias(f"_grouping{i}") for i, c in enumerate((fixed, a, b))])
+    rows, keys = rows_of_sets(df, [fixed, a, b], groups, F.col(value))
+    out = with_quantiles(out, rows, keys, "_of_set", (0.25, 0.5, 0.75)).withColumnsRenamed({"_grouping1": "_a", "_grouping2": "_b"})
     shown = lambda c, g: F.when(F.col(g) == 1, "").otherwise(F.col(c).cast("string"))
     kept = out.filter((F.col("n") >= least) & ((F.col("_a") == 1) | (F.coalesce(F.col(a).cast("string"), F.lit("")) != "")) & ((F.col("_b") == 1) | (F.coalesce(F.col(b).cast("string"), F.lit("")) != "")))
     return kept.select(fixed, shown(a, "_a").alias(a), shown(b, "_b").alias(b), "n", *[F.col("_p")[i].alias(p) for i, p in enumerate(("p25", "median", "p75"))])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.parse import symbol_number
 from millrace.functions.text import MISSING_TABLE, norm_missing, snake_headers
+from millrace.operators.quantiles import medians
 
 ROW = "_row"
 
@@ -57,10 +58,10 @@ def impute(df: DataFrame, numeric: list[str], other: list[str], row: str = ROW)
     """Medians into missing or unreadable numbers, modes (or 'Unknown') into other gaps; and how many cells changed."""
     typed = df.withColumns({c: symbol_number(F.col(c)) for c in numeric})
     gaps = [F.sum(F.col(c).isNull().cast("long")).alias(f"gap{i}") for i, c in enumerate([*numeric, *other])]
-    medians = [F.percentile(F.col(c), 0.5).alias(f"median{i}") for i, c in enumerate(numeric)]
-    row_ = typed.agg(*gaps, *medians).first()
+    middle = medians(typed, {c: F.col(c) for c in numeric})
+    row_ = typed.agg(*gaps).first()
     common = modes(typed, other, row) if other else {}
-    fills = {c: F.coalesce(F.col(c), F.lit(row_[f"median{i}"]).cast("double")) for i, c in enumerate(numeric)}
+    fills = {c: F.coalesce(F.col(c), F.lit(middle[c]).cast("double")) for c in numeric}
     fills |= {c: F.coalesce(F.col(c), F.lit(common[c] or "Unknown")) for c in other}
     return typed.withColumns(fills), sum(row_[f"gap{i}"] or 0 for i in range(len(gaps)))
 

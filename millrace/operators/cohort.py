@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.numeric import round_even
 from millrace.operators.filters import between_snapshot
+from millrace.operators.quantiles import with_quantiles
 from millrace.operators.windows import gap_features
 
 
@@ -32,5 +33,7 @@ def cohort(transactions: DataFrame, cutoffs: list[str], lookback: int = 90, hori
 
 def drift(cohorts: DataFrame, columns: list[str]) -> DataFrame:
     """Deciles 1, 5 and 9 of each feature by cutoff, and the share that returned."""
-    aggs = [F.percentile(c, [0.1, 0.5, 0.9]).alias(c) for c in columns]
-    return cohorts.groupBy("cutoff").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("returned_60d"), 6).alias("share"), *aggs)
+    out = cohorts.groupBy("cutoff").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("returned_60d"), 6).alias("share"))
+    for c in columns:
+        out = with_quantiles(out, cohorts, ["cutoff"], c, (0.1, 0.5, 0.9), c)
+    return out

@@ -7,6 +7,7 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import quantiles
 from millrace.operators.metrics import classification_summary, confusion, regression_scores
 from millrace.operators.sampling import folds, stratified_split
 
@@ -29,7 +30,7 @@ def evaluation_plan(n: int, class_counts: dict | None) -> dict:
 
 def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str], most: int = 32, least_count: int = 2) -> dict:
     """Medians, means and population deviations, and the commonest categories, of the training rows alone."""
-    medians = train.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in numeric]).first().asDict() if numeric else {}
+    medians = quantiles.medians(train, {c: F.col(c) for c in numeric})
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c] if medians[c] is not None else 0.0)) for c in numeric}
     stats = train.agg(*[x for c in numeric for x in (F.avg(filled[c]).alias(f"{c}_m"), F.stddev_pop(filled[c]).alias(f"{c}_s"))]).first().asDict() if numeric else {}
     levels = {}

@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 from millrace.functions.numeric import is_finite
 from millrace.functions.parse import ambiguous_number, locale_number
 from millrace.operators.aggregates import exact_sum
+from millrace.operators.quantiles import long_values, with_quantiles
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column: counts, mean, median, population deviation, range; all in one pass."""
+    """One row per column: counts, mean, median, population deviation, range."""
     aggs = []
     for c in columns:
         v = F.when(is_finite(F.col(c).cast("double")), F.col(c).cast("double"))
         aggs.append(
             F.struct(
-                F.lit(c).alias("name"), F.count(v).alias("n_valid"), F.count_if(F.col(c).isNull()).alias("n_missing"), F.count_distinct(c).alias("n_unique"), F.round(exact_sum(v) / F.count(v), 6).alias("mean"), F.percentile(v, 0.5).alias("median"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
+                F.lit(c).alias("name"), F.count(v).alias("n_valid"), F.count_if(F.col(c).isNull()).alias("n_missing"), F.count_distinct(c).alias("n_unique"), F.round(exact_sum(v) / F.count(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
             ).alias(f"s_{c}")
         )
     wide = df.agg(*aggs)
-    return wide.select(F.explode(F.array(*[F.col(x) for x in wide.columns])).alias("s")).select("s.*")
+    stats = wide.select(F.explode(F.array(*[F.col(x) for x in wide.columns])).alias("s")).select("s.*")
+    values = long_values(df, {c: F.when(is_finite(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns})
+    out = with_quantiles(stats, values, ["name"], "value", (0.5,), "_median").withColumn("median", F.col("_median")[0])
+    return out.select("name", "n_valid", "n_missing", "n_unique", "mean", "median", "std", "min", "max")
 
 
 def histogram(df: DataFrame, column: str, most: int = 30) -> DataFrame:

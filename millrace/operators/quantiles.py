@@ -20,18 +20,11 @@ from pyspark.sql import functions as F
 
 from millrace.storage import written
 
-LIMIT, GRID = 1_000_000, 1000
+#: ``ROUNDS`` of narrowing leave a bracket with less than a (GRID / 6) ** ROUNDS th of a group, or with equal values.
+LIMIT, GRID, ROUNDS = 1_000_000, 1000, 6
 VALUE = "_value"
 
 
-def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """Equality of all keys, nulls equal to each other."""
-    out = F.lit(True)
-    for k in keys:
-        out = out & a[k].eqNullSafe(b[k])
-    return out
-
-
 def join_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner", small: bool = False) -> DataFrame:
     """``a`` joined with ``b`` on keys that may be null; the keys of ``a`` are kept. Without keys ``b`` has one row."""
     renamed = b.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
@@ -46,10 +39,10 @@ def _grid(n: int = GRID) -> Column:
     return F.percentile_approx(VALUE, [i / n for i in range(n + 1)], 20 * n)
 
 
-def _around(grid: Column, share: Column, n: int = GRID) -> tuple[Column, Column]:
-    """The grid values two cells below and above a share of the rows."""
-    cell = F.floor(share * n).cast("int")
-    return F.element_at(grid, F.greatest(F.lit(1), cell - 1)), F.element_at(grid, F.least(F.lit(n + 1), cell + 4))
+def _around(grid: Column, first: Column, last: Column, n: int = GRID) -> tuple[Column, Column]:
+    """The grid values two cells below one share of the rows and two above another."""
+    cell = lambda share: F.floor(share * n).cast("int")
+    return F.element_at(grid, F.greatest(F.lit(1), cell(first) - 1)), F.element_at(grid, F.least(F.lit(n + 1), cell(last) + 4))
 
 
 LOWEST, HIGHEST = float("-inf"), float("nan")  # NaN is the highest value in Spark's order
@@ -89,25 +82,23 @@ def _select(rows: DataFrame, sizes: DataFrame, keys: list[str], points: list[flo
     wanted = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.floor(a).alias("first"), F.ceil(a).alias("last"), a.alias("position")) for j, a in enumerate(at)]))
     ranks = written(sizes.select(*keys, "n", wanted.alias("w")).select(*keys, "n", "w.*"), "ranks")
     sketch = join_keys(rows, sizes.select(*keys), keys, small=True).groupBy(*keys).agg(_grid().alias("g")) if keys else rows.agg(_grid().alias("g"))
-    low, high = _around(F.col("g"), F.col("first") / F.col("n"))
+    low, high = _around(F.col("g"), F.col("first") / F.col("n"), F.col("last") / F.col("n"))
     first = join_keys(ranks, sketch, keys).select(*ranks.columns, low.alias("lower"), high.alias("upper"))
     brackets = written(_checked(_counted(rows, first, keys)), "brackets")
-    while True:
-        wide = brackets.filter((F.col("missed") | (F.col("inside") > limit)) & ~F.col("lower").eqNullSafe(F.col("upper")))
-        before = wide.agg(F.sum("inside"), F.count(F.lit(1))).first()
-        if not before[1]:
+    for _ in range(ROUNDS):
+        todo = (F.col("missed") | (F.col("inside") > limit)) & ~F.col("lower").eqNullSafe(F.col("upper"))
+        wide = brackets.filter(todo)
+        if not wide.limit(1).count():
             break
         # brackets opened after a miss are counted again before they are narrowed
         open_ = written(_counted(rows, wide.drop("below", "inside", "missed"), keys), "opened")
         inner = _inside(rows, open_, keys).groupBy(*keys, "j").agg(_grid().alias("g"))
-        low, high = _around(F.col("g"), (F.col("first") - F.col("below")) / F.col("inside"))
+        share = lambda c: (F.col(c) - F.col("below")) / F.col("inside")
+        low, high = _around(F.col("g"), share("first"), share("last"))
         narrowed = join_keys(open_, inner, [*keys, "j"]).select(*ranks.columns, F.greatest("lower", low).alias("lower"), F.least("upper", high).alias("upper"))
-        counted = _checked(_counted(rows, narrowed, keys))
-        rest = brackets.join(wide.select(*[F.col(k).alias(f"_w{i}") for i, k in enumerate(keys)], F.col("j").alias("_j")), _renamed(brackets, keys), "left_anti")
-        brackets = written(rest.unionByName(counted.select(*rest.columns)), "brackets")
-        after = brackets.filter("missed OR inside > " + str(limit)).agg(F.sum("inside")).first()[0]
-        if after is not None and before[0] is not None and after >= before[0] and not brackets.filter("missed").limit(1).count():
-            break  # nothing but equal values is left inside
+        brackets = written(brackets.filter(~todo).unionByName(_checked(_counted(rows, narrowed, keys)).select(*brackets.columns)), "brackets")
+    if brackets.filter("missed").limit(1).count():
+        brackets = written(_counted(rows, brackets.drop("below", "inside", "missed"), keys), "brackets")
     counts = _inside(rows, brackets, keys).groupBy(*keys, "j", VALUE).agg(F.count(F.lit(1)).alias("c"))
     met = join_keys(counts, brackets.select(*keys, "j", "n", "first", "last", "position", "below"), [*keys, "j"])
     upto = F.col("below") + F.sum("c").over(Window.partitionBy(*keys, "j").orderBy(VALUE))
@@ -118,33 +109,55 @@ def _select(rows: DataFrame, sizes: DataFrame, keys: list[str], points: list[flo
     return picked.groupBy(*keys, "n").agg(ordered.alias("q"))
 
 
-def _renamed(brackets: DataFrame, keys: list[str]) -> Column:
-    on = F.col("j") == F.col("_j")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_w{i}"))
-    return on
+def _own(keys: list[str]) -> list[str]:
+    return [f"_q{i}" for i in range(len(keys))]
+
+
+def _quantiles(df: DataFrame, keys: list[str], value: Column | str, points: list[float] | tuple[float, ...], limit: int) -> DataFrame:
+    """(_q0, _q1, ..., n, q): keys under names that no input column can clash with."""
+    column, own = F.col(value) if isinstance(value, str) else value, _own(keys)
+    rows = df.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], column.cast("double").alias(VALUE)).filter(F.col(VALUE).isNotNull())
+    plain = lambda part: part.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.percentile(VALUE, list(points)).alias("q")).filter("n > 0")
+    large = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    if not large.limit(1).count():
+        return plain(rows)
+    large = written(large, "large-groups")
+    selected = _select(join_keys(rows, large.select(*own), own, small=True) if own else rows, large, own, list(points), limit)
+    return plain(join_keys(rows, large.select(*own), own, "left_anti", small=True)).unionByName(selected) if own else selected
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: Column | str, points: list[float] | tuple[float, ...], limit: int = LIMIT) -> DataFrame:
-    """(keys, n, q): the non-null values of each group and their quantiles at ``points``.
+    """(keys, n, q): the number of non-null values of each group, and their quantiles at ``points``.
 
     Groups may have null keys. Without keys there is one row, if there is any value.
     """
-    column = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*keys, column.cast("double").alias(VALUE)).filter(F.col(VALUE).isNotNull())
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.filter(F.col("n") > limit)
-    plain = lambda part: part.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile(VALUE, list(points)).alias("q")).filter("n > 0")
-    if not large.limit(1).count():
-        return plain(rows)
-    large = written(large, "large-groups")
-    selected = _select(rows if not keys else join_keys(rows, large.select(*keys), keys, small=True), large, keys, list(points), limit)
-    if not keys:
-        return selected
-    return plain(join_keys(rows, large.select(*keys), keys, "left_anti", small=True)).unionByName(selected)
+    found = _quantiles(df, keys, value, points, limit)
+    return found.select(*[F.col(o).alias(k) for k, o in zip(keys, _own(keys))], "n", "q")
 
 
 def with_quantiles(stats: DataFrame, rows: DataFrame, keys: list[str], value: Column | str, points: list[float] | tuple[float, ...], name: str = "_p", limit: int = LIMIT) -> DataFrame:
     """``stats`` (one row per group) with the array ``name`` of its group's quantiles, null for groups without a value."""
-    found = exact_quantiles(rows, keys, value, points, limit).select(*keys, F.col("q").alias(name))
-    return join_keys(stats, found, keys, "left") if keys else stats.join(F.broadcast(found), F.lit(True), "left")
+    found, on = _quantiles(rows, keys, value, points, limit).select(*_own(keys), F.col("q").alias(name)), F.lit(True)
+    for k, o in zip(keys, _own(keys)):
+        on = on & F.col(k).eqNullSafe(F.col(o))
+    return stats.join(found if keys else F.broadcast(found), on, "left").drop(*_own(keys))
+
+
+def rows_of_sets(df: DataFrame, columns: list[str], sets: list[list[str]], value: Column) -> tuple[DataFrame, list[str]]:
+    """(columns, flags, value): each row once per grouping set, with the flags that ``grouping`` gives, for the quantiles of grouping sets."""
+    flags, types = [f"_grouping{i}" for i in range(len(columns))], dict(df.dtypes)
+    one = lambda s: F.struct(
+        *[(F.col(c) if c in s else F.lit(None).cast(types[c])).alias(c) for c in columns], *[F.lit(int(c not in s)).alias(f) for c, f in zip(columns, flags)]
+    )
+    return df.select(value.alias("_of_set"), F.inline(F.array(*map(one, sets)))), [*columns, *flags]
+
+
+def long_values(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(name, value): each row once per named column."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in columns.items()])))
+
+
+def medians(df: DataFrame, columns: dict[str, Column]) -> dict[str, float | None]:
+    """The exact median of each named column; None where it has no value."""
+    found = {r["name"]: r["q"][0] for r in exact_quantiles(long_values(df, columns), ["name"], "value", [0.5]).collect()} if columns else {}
+    return {n: found.get(n) for n in columns}
