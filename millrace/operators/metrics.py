@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.running import running_totals
+
 
 def calibration_bins(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
@@ -51,24 +53,44 @@ def confused_pairs(cells: DataFrame, k: int = 3) -> DataFrame:
     return cells.filter("actual <> predicted").orderBy(F.desc("n"), "actual", "predicted").limit(k)
 
 
-def score_curve(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Cumulative true and false positives at each distinct score, from the top; one row per score reaches the window."""
-    per = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("q"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy()
-    return per.select("score", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(total).alias("positives"), F.sum("q").over(total).alias("negatives"))
+def score_curve(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """Cumulative true and false positives at each distinct score, from the top, with the positives ``p`` and negatives ``q`` at it.
+
+    Equal scores are summed before the shuffle; the totals are added up range by range.
+    """
+    by = by or []
+    per = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("q"))
+    return running_totals(per, by, [F.desc("score")], {"tp": "p", "fp": "q"})
 
 
-def ranking_scores(df: DataFrame, y: str, score: str) -> DataFrame:
-    """ROC AUC with ties, trapezoid PR AUC, and average precision."""
-    c = score_curve(df, y, score)
-    order = Window.orderBy(F.desc("score"))
-    tp0, fp0 = F.coalesce(F.lag("tp").over(order), F.lit(0)), F.coalesce(F.lag("fp").over(order), F.lit(0))
+def ranking_scores(df: DataFrame, y: str, score: str, by: list[str] | None = None, digits: int | None = 6) -> DataFrame:
+    """ROC AUC with ties, trapezoid PR AUC, and average precision; null without positives or negatives."""
+    c = score_curve(df, y, score, by)
+    tp0, fp0 = F.col("tp") - F.col("p"), F.col("fp") - F.col("q")
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
-    before = F.coalesce(F.lag(precision).over(order), F.lit(1.0))
-    steps = c.select("positives", "negatives", ((F.col("fp") - fp0) * (F.col("tp") + tp0) / 2.0).alias("roc"), ((F.col("tp") - tp0) * (precision + before) / 2).alias("pr"), ((F.col("tp") - tp0) * precision).alias("ap"))
-    p, q = F.max("positives"), F.max("negatives")
-    return steps.agg(F.round(F.try_divide(F.sum("roc"), p * q), 6).alias("roc_auc"), F.round(F.try_divide(F.sum("pr"), p), 6).alias("pr_auc"), F.round(F.try_divide(F.sum("ap"), p), 6).alias("average_precision"))
+    before = F.coalesce(F.try_divide(tp0, tp0 + fp0), F.lit(1.0))
+    steps = c.select(*(by or []), "p", "q", (F.col("q") * (F.col("tp") + tp0) / 2.0).alias("roc"), (F.col("p") * (precision + before) / 2).alias("pr"), (F.col("p") * precision).alias("ap"))
+    p, q = F.sum("p"), F.sum("q")
+    named = {"roc_auc": F.try_divide(F.sum("roc"), p * q), "pr_auc": F.try_divide(F.sum("pr"), p), "average_precision": F.try_divide(F.sum("ap"), p)}
+    return steps.groupBy(*(by or [])).agg(*[(v if digits is None else F.round(v, digits)).alias(k) for k, v in named.items()])
+
+
+def one_vs_rest(df: DataFrame, y: str, scores: dict[str, str], digits: int | None = 6) -> DataFrame:
+    """(class, n, roc_auc, pr_auc, average_precision) of each class against the others; ``scores`` names the column of each class."""
+    pairs = F.inline(F.array(*[F.struct(F.lit(k).alias("class"), F.col(c).cast("double").alias("score"), (F.col(y).cast("string") == k).cast("long").alias("hit")) for k, c in scores.items()]))
+    long = df.filter(F.col(y).isNotNull()).select(pairs)
+    found = ranking_scores(long, "hit", "score", ["class"], digits)
+    return found.join(long.groupBy("class").agg(F.sum("hit").alias("n")), "class").select("class", "n", "roc_auc", "pr_auc", "average_precision")
+
+
+def macro_ranking_scores(df: DataFrame, y: str, scores: dict[str, str], digits: int | None = 6) -> DataFrame:
+    """One row: the unweighted mean over classes of the one-vs-rest ROC AUC; null unless every class, and no other, occurs."""
+    unknown = df.filter(F.col(y).isNotNull() & ~F.col(y).cast("string").isin(*scores)).select(F.lit(1).alias("x")).limit(1)
+    per = one_vs_rest(df, y, scores, None)
+    mean = per.agg(F.when(F.count("roc_auc") == len(scores), F.avg("roc_auc")).alias("_auc"), F.count(F.lit(1)).alias("classes"))
+    value = F.when(F.col("_unknown") == 0, F.col("_auc"))
+    out = mean.crossJoin(unknown.agg(F.count(F.lit(1)).alias("_unknown")))  # one row each
+    return out.select((value if digits is None else F.round(value, digits)).alias("roc_auc_ovr"), "classes")
 
 
 def regression_scores(df: DataFrame, y: str, prediction: str, by: list[str] | None = None, digits: int | None = 6) -> DataFrame:

@@ -464,7 +464,9 @@ def smp6_temporal_cut(spark, d):
     return sampling.temporal_cut(table(spark, d, "orders"), "o_orderdate").select("o_orderkey", "is_test")
 
 
-@query()
+@query(
+    "WITH h AS (SELECT o_orderkey, o_orderpriority AS k, CAST(('0x' || md5('42|' || CAST(o_orderkey AS VARCHAR))[1:13])::BIGINT AS DOUBLE) AS h FROM orders), c AS (SELECT k, quantile_cont(h, 0.25) AS cut FROM h GROUP BY k) SELECT o_orderkey, h <= cut AS is_test FROM h JOIN c ON h.k = c.k"
+)
 def smp5_stratified_split(spark, d):
     return sampling.stratified_split(table(spark, d, "orders"), "o_orderpriority", F.col("o_orderkey")).select("o_orderkey", "is_test")
 
@@ -610,9 +612,14 @@ def ml20_cohort(spark, d):
     return _cohort(spark, d).drop("label_end_exclusive").withColumn("monetary_90d", F.round("monetary_90d", 1))
 
 
-@query()
+@query(
+    "SELECT cutoff, count(*) AS n, round(avg(returned_60d), 6) AS share, "
+    + ", ".join(f"round(quantile_cont({c}, {q}), 4) AS {c}_q{round(100 * q)}" for c in ("recency_days", "monetary_90d") for q in (0.1, 0.5, 0.9))
+    + f" FROM ({_COHORT}) GROUP BY cutoff"
+)
 def agg27_drift(spark, d):
-    return cohort.drift(_cohort(spark, d), ["recency_days", "monetary_90d"])
+    found = cohort.drift(_cohort(spark, d).withColumn("monetary_90d", F.round("monetary_90d", 1)), ["recency_days", "monetary_90d"])
+    return found.select("cutoff", "n", "share", *[F.round(F.col(c)[i], 4).alias(f"{c}_q{q}") for c in ("recency_days", "monetary_90d") for i, q in enumerate((10, 50, 90))])
 
 
 _LOGIT = {"intercept": -0.4, "features": {"o_totalprice": {"coefficient": 0.8, "mean": 250000.0, "scale": 140000.0, "median": 240000.0}, "m": {"coefficient": -0.5, "mean": 6.0, "scale": 3.5, "median": 6.0}}}
@@ -666,12 +673,36 @@ def agg20_classification_summary(spark, d):
 
 
 @query(
-    f"""WITH s AS (SELECT y, round(p, 2) AS p FROM ({_SCORED})), g AS (SELECT p, sum(y) AS a, sum(1 - y) AS b FROM s GROUP BY 1), c AS (SELECT p, sum(a) OVER o AS tp, sum(b) OVER o AS fp, sum(a) OVER () AS pn, sum(b) OVER () AS nn FROM g WINDOW o AS (ORDER BY p DESC)),
+    f"""WITH s AS (SELECT y, p FROM ({_SCORED})), g AS (SELECT p, sum(y) AS a, sum(1 - y) AS b FROM s GROUP BY 1), c AS (SELECT p, sum(a) OVER o AS tp, sum(b) OVER o AS fp, sum(a) OVER () AS pn, sum(b) OVER () AS nn FROM g WINDOW o AS (ORDER BY p DESC)),
 l AS (SELECT *, coalesce(lag(tp) OVER o, 0) AS t0, coalesce(lag(fp) OVER o, 0) AS f0, coalesce(lag(tp / (tp + fp)) OVER o, 1.0) AS q0 FROM c WINDOW o AS (ORDER BY p DESC))
 SELECT round(sum((fp - f0) * (tp + t0) / 2) / (max(pn) * max(nn)), 6) AS roc_auc, round(sum((tp - t0) * (tp / (tp + fp) + q0) / 2) / max(pn), 6) AS pr_auc, round(sum((tp - t0) * tp / (tp + fp)) / max(pn), 6) AS average_precision FROM l"""
 )
 def agg21_ranking_scores(spark, d):
-    return metrics.ranking_scores(_scored(spark, d).withColumn("p", F.round("p", 2)), "y", "p")
+    return metrics.ranking_scores(_scored(spark, d), "y", "p")
+
+
+#: The score of each class, in both dialects.
+_ONE_VS_REST = {"view": "value", "signup": "-value", "error": "abs(value - 50)", "purchase": "value * value - 60 * value", "click": "CAST(event_id % 97 AS DOUBLE)"}
+_PER_CLASS = (
+    "WITH s AS (" + " UNION ALL ".join(f"SELECT '{k}' AS class, {v} AS s, CASE WHEN event_type = '{k}' THEN 1 ELSE 0 END AS y FROM events" for k, v in _ONE_VS_REST.items()) + """),
+g AS (SELECT class, s, sum(y) AS p, sum(1 - y) AS q FROM s GROUP BY ALL),
+c AS (SELECT *, sum(p) OVER (PARTITION BY class ORDER BY s DESC) AS tp, sum(q) OVER (PARTITION BY class ORDER BY s DESC) AS fp FROM g),
+r AS (SELECT class, CAST(sum(p) AS BIGINT) AS n, sum(q * (2 * tp - p) / 2) / (sum(p) * sum(q)) AS roc_auc, sum(p * tp / (tp + fp)) / sum(p) AS average_precision FROM c GROUP BY class)"""
+)
+
+
+def _classes(spark, d):
+    return table(spark, d, "events").select(F.col("event_type").alias("y"), *[F.expr(v).alias(f"s_{k}") for k, v in _ONE_VS_REST.items()])
+
+
+@query(f"{_PER_CLASS} SELECT class, n, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision FROM r")
+def agg21_one_vs_rest(spark, d):
+    return metrics.one_vs_rest(_classes(spark, d), "y", {k: f"s_{k}" for k in _ONE_VS_REST}).drop("pr_auc")
+
+
+@query(f"{_PER_CLASS} SELECT round(avg(roc_auc), 6) AS roc_auc_ovr, count(*) AS classes FROM r")
+def agg21_macro_auc(spark, d):
+    return metrics.macro_ranking_scores(_classes(spark, d), "y", {k: f"s_{k}" for k in _ONE_VS_REST})
 
 
 @query("SELECT l_returnflag, round(avg(abs(e)), 6) AS mae, round(avg(e * e), 6) AS mse, round(sqrt(avg(e * e)), 6) AS rmse, round(1 - sum(e * e) / (var_pop(a) * count(*)), 6) AS r2, round(100 * avg(abs(e / a)), 6) AS mape, round(100 * avg(2 * abs(e) / (abs(a) + abs(p))), 6) AS smape FROM (SELECT l_returnflag, l_extendedprice AS a, l_quantity * 1450 AS p, l_extendedprice - l_quantity * 1450 AS e FROM lineitem) GROUP BY 1")
