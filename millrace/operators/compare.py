@@ -7,9 +7,10 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import quantiles
+from millrace.operators import kernels, neighbours, quantiles
 from millrace.operators.metrics import classification_summary, confusion, regression_scores
 from millrace.operators.sampling import folds, stratified_split
+from millrace.storage import written
 
 
 def evaluation_plan(n: int, class_counts: dict | None) -> dict:
@@ -59,17 +60,47 @@ def transform(df: DataFrame, model: dict, target: str, extra: tuple[str, ...] =
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows).select(*extra, "label", "features")
 
 
+class Neighbours:
+    """Estimator over (row_key, label, features): the vote or the mean of the k nearest training rows, exactly."""
+
+    def __init__(self, task: str, k: int = 5):
+        self.task, self.k = task, k
+
+    def fit(self, rows: DataFrame) -> Neighbours:
+        out = Neighbours(self.task, self.k)
+        out.rows = rows
+        return out
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        width = self.rows.select(F.size(vector_to_array("features"))).first()[0]
+        flat = lambda df, *more: df.select("row_key", *more, *[vector_to_array("features")[i].alias(f"x{i}") for i in range(width)])
+        found = neighbours.nearest(flat(self.rows, "label"), flat(rows), "row_key", [f"x{i}" for i in range(width)], "label", self.k)
+        said = neighbours.vote(found) if self.task == "classification" else neighbours.average(found)
+        return rows.join(said.withColumnRenamed("query", "row_key"), "row_key")
+
+
 def estimators(task: str) -> dict:
-    """Models by name; neighbours and kernel machines have no counterpart that scales and are left out."""
+    """Models by name, with the sizes of the product; classes are balanced by the ``weight`` column where it balances them."""
     from pyspark.ml import classification as c
     from pyspark.ml import regression as r
 
     if task == "classification":
         return {
-            "Logistic Regression": c.LogisticRegression(maxIter=60), "Decision Tree": c.DecisionTreeClassifier(maxDepth=8, seed=42), "Random Forest": c.RandomForestClassifier(numTrees=60, maxDepth=12, seed=42), "Gaussian Naive Bayes": c.NaiveBayes(modelType="gaussian"), "Gradient Boosting": c.GBTClassifier(maxIter=60, maxDepth=2, seed=42), "Linear SVC": c.LinearSVC(),
-        }
+            "Logistic Regression": c.LogisticRegression(maxIter=600, weightCol="weight"),
+            "K-Nearest Neighbors": Neighbours(task),
+            "Support Vector Machine": kernels.KernelMachine(task),
+            "Decision Tree": c.DecisionTreeClassifier(maxDepth=8, minInstancesPerNode=2, weightCol="weight", seed=42),
+            "Random Forest": c.RandomForestClassifier(numTrees=60, maxDepth=12, minInstancesPerNode=2, weightCol="weight", seed=42),
+            "Gaussian Naive Bayes": c.NaiveBayes(modelType="gaussian"),
+            "Gradient Boosting": c.GBTClassifier(maxIter=60, maxDepth=2, seed=42),
+            "Linear SVC": c.LinearSVC(),
+        }
     return {
-        "Linear Regression": r.LinearRegression(), "Ridge": r.LinearRegression(regParam=1.0, elasticNetParam=0.0), "Lasso": r.LinearRegression(regParam=0.1, elasticNetParam=1.0), "Decision Tree": r.DecisionTreeRegressor(maxDepth=8, seed=42), "Random Forest": r.RandomForestRegressor(numTrees=60, maxDepth=12, seed=42), "Gradient Boosting": r.GBTRegressor(maxIter=60, maxDepth=3, seed=42),
+        "Linear Regression": r.LinearRegression(), "Ridge": r.LinearRegression(regParam=1.0, elasticNetParam=0.0), "Lasso": r.LinearRegression(regParam=0.01, elasticNetParam=1.0, maxIter=2000),
+        "KNN Regressor": Neighbours(task), "SVR": kernels.KernelMachine(task), "Decision Tree": r.DecisionTreeRegressor(maxDepth=8, minInstancesPerNode=2, seed=42),
+        "Random Forest": r.RandomForestRegressor(numTrees=60, maxDepth=12, minInstancesPerNode=2, seed=42), "Gradient Boosting": r.GBTRegressor(maxIter=60, maxDepth=2, seed=42),
     }
 
 
@@ -80,16 +111,27 @@ def _score(model, rows: DataFrame, task: str) -> float:
     return -regression_scores(p, "label", "prediction").first()["rmse"]
 
 
-def compare_models(df: DataFrame, target: str, numeric: list[str], categorical: list[str], key: str, task: str = "classification", names: list[str] | None = None, budget_s: float | None = None) -> list[dict]:
-    """Cross-validated score of each model, ranked before the holdout is looked at, and the gap that hints at overfitting."""
+def compare_models(df: DataFrame, target: str, numeric: list[str], categorical: list[str], key: str, task: str = "classification", names: list[str] | None = None, budget_s: float | None = None, most_features: int = 500, most_cells: int | None = None) -> list[dict]:
+    """Cross-validated score of each model, ranked before the holdout is looked at, and the gap that hints at overfitting.
+
+    More than ``most_features`` encoded columns, or ``most_cells`` numbers in all, raise.
+    """
     usable = df.filter(F.col(target).isNotNull())
     counts = {r[target]: r["n"] for r in usable.groupBy(target).agg(F.count(F.lit(1)).alias("n")).limit(31).collect()} if task == "classification" else None
     plan = evaluation_plan(usable.count(), counts)
     split = stratified_split(usable, target, F.col(key)) if plan["has_holdout"] and task == "classification" else usable.withColumn("is_test", (F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(4)) == 0) & F.lit(plan["has_holdout"]))
     train = folds(split.filter("NOT is_test"), F.col(key), max(plan["folds"], 2), target if task == "classification" else None)
     prep = fit_preprocessor(train, numeric, categorical)
-    rows, out, began = transform(train, prep, target, ("fold",)).cache(), [], time.monotonic()
-    test = transform(split.filter("is_test"), prep, target).cache()
+    balance = F.lit(1.0)
+    if counts:  # at most 31 classes: all of them alike in weight
+        for value, n in counts.items():
+            balance = F.when(F.col(target) == value, sum(counts.values()) / (len(counts) * n)).otherwise(balance)
+    width = encoded_width(prep)
+    if width > most_features or most_cells is not None and width * sum(counts.values() if counts else [usable.count()]) > most_cells:
+        raise ValueError(f"{width} encoded features: more than the comparison allows")
+    weigh = lambda df: df.withColumns({"row_key": F.col(key), "weight": balance})
+    rows, out, began = transform(weigh(train), prep, target, ("fold", "row_key", "weight")).cache(), [], time.monotonic()
+    test = transform(weigh(split.filter("is_test")), prep, target, ("row_key", "weight")).cache()
     for name, estimator in estimators(task).items():
         if names and name not in names:
             continue
@@ -129,28 +171,13 @@ def beats_majority(df: DataFrame, y: str, prediction: str) -> DataFrame:
     return classification_summary(confusion(df, y, prediction)).select(F.col("macro_f1").alias("model_f1")).crossJoin(F.broadcast(base)).withColumn("better", F.col("model_f1") > F.col("majority_f1"))  # one row
 
 
-def nearest_neighbours(train: DataFrame, queries: DataFrame, key: str, columns: list[str], label: str, k: int = 5, most: int = 20_000) -> DataFrame:
+def nearest_neighbours(train: DataFrame, queries: DataFrame, key: str, columns: list[str], label: str, k: int = 5) -> DataFrame:
     """(key, label): the majority label of the k nearest training rows; ties go to the smaller label.
 
-    The training rows go to every task, so there may be at most ``most`` of
-    them, which is checked; queries are not bounded.
+    Both sides are distributed and neither is bounded; training rows are told apart by ``key`` if
+    they have it, else by their columns and label.
     """
-    import numpy as np
-    import pandas as pd
-
-    rows = train.select(*[F.col(c).cast("double") for c in columns], F.col(label).cast("string")).na.drop().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"neighbours need at most {most} training rows")
-    points = np.array([r[:-1] for r in rows], float).reshape(len(rows), len(columns))
-    names, codes = np.unique([r[-1] for r in rows], return_inverse=True)
-
-    def vote(batches):
-        for pdf in batches:
-            x = pdf[columns].to_numpy(float)
-            out = []
-            for row in x:  # one row of distances at a time
-                near = np.argsort(((points - row) ** 2).sum(1), kind="stable")[:k]
-                out.append(names[np.bincount(codes[near], minlength=len(names)).argmax()])
-            yield pd.DataFrame({key: pdf[key], "label": out})
-
-    return queries.select(key, *[F.col(c).cast("double") for c in columns]).na.drop().mapInPandas(vote, f"{key} {dict(queries.dtypes)[key]}, label string")
+    own = train.select(*columns, F.col(label).cast("string").alias("label")).withColumn(key, F.monotonically_increasing_id())
+    source = train.select(key, *columns, F.col(label).cast("string").alias("label")) if key in train.columns else written(own, "training-rows")
+    found = neighbours.nearest(source, queries.select(key, *columns), key, columns, "label", k)
+    return neighbours.vote(found).select(F.col("query").alias(key), F.col("prediction").alias("label"))

@@ -740,11 +740,31 @@ def ml13_input_rules(spark, d):
 
 @query()
 def ml5_model_comparison(spark, d):
-    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") > 250000).cast("int").alias("target"), F.month("o_orderdate").alias("m"), (F.col("o_totalprice") + F.rand(3) * 200000).alias("noisy"), "o_orderpriority")
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") > 250000).cast("int").alias("target"), F.month("o_orderdate").alias("m"), (F.col("o_totalprice") + F.pmod(F.xxhash64("o_orderkey", F.lit(3)), F.lit(200000))).alias("noisy"), "o_orderpriority")
     found = compare.compare_models(rows, "target", ["m", "noisy"], ["o_orderpriority"], "o_orderkey", names=["Logistic Regression", "Decision Tree"])
     return spark.createDataFrame([(r["model"], r["rank"], float(r["cv_score"]), float(r["test_score"]), r["overfit"]) for r in found], "model string, rank int, cv_score double, test_score double, overfit string")
 
 
+@query(
+    """WITH q AS (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) * 20 AS a, p_retailprice AS b, p_type AS l FROM part), d AS (
+  SELECT x.k, t.l, row_number() OVER (PARTITION BY x.k ORDER BY (x.a - t.a) * (x.a - t.a) + (x.b - t.b) * (x.b - t.b), t.k) AS r FROM q x, q t),
+v AS (SELECT k, l, count(*) AS n FROM d WHERE r <= 5 GROUP BY ALL)
+SELECT k AS p_partkey, arg_min(l, struct_pack(n := -n, l := l)) AS label FROM v GROUP BY k"""
+)
+def ml5_nearest_neighbours(spark, d):
+    """The commonest type of the five parts nearest in size and price, of every part."""
+    parts = table(spark, d, "part").select("p_partkey", (F.col("p_size").cast("double") * 20).alias("a"), F.col("p_retailprice").alias("b"), "p_type")
+    return compare.nearest_neighbours(parts, parts, "p_partkey", ["a", "b"], "p_type")
+
+
+@query()
+def ml5_kernel_machine(spark, d):
+    """A kernel machine and a line, cross-validated on the customers."""
+    rows = table(spark, d, "customer").select("c_custkey", (F.abs(F.col("c_acctbal") - 4500) < 2700).cast("int").alias("target"), "c_acctbal", "c_nationkey")
+    found = compare.compare_models(rows, "target", ["c_acctbal", "c_nationkey"], [], "c_custkey", names=["Support Vector Machine", "Logistic Regression"])
+    return spark.createDataFrame([(r["model"], r["rank"], float(r["cv_score"]), float(r["test_score"]), r["overfit"]) for r in found], "model string, rank int, cv_score double, test_score double, overfit string")
+
+
 # ---- texts
 
 _FOLDED = "replace(strip_accents(lower(coalesce({c}, ''))), 'đ', 'd')"
