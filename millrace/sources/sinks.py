@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import csv
+import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import guard_formula
@@ -48,17 +49,72 @@ def write_json(df: DataFrame, path: str) -> None:
     finite_or_null(df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the target, then put the new files in its place, so that readers never see half a table."""
-    spark = df.sparkSession
-    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(beside)
-    jvm = spark._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
-    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"could not replace {path}")
+#: A table folder holds versions and a pointer file with the name of the current one.
+POINTER, VERSIONS = "_current", "_versions"
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file context and a maker of its paths."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    return hadoop.FileContext.getFileContext(where.toUri() if where.toUri().getScheme() else hadoop.FileSystem.getDefaultUri(spark._jsc.hadoopConfiguration()), spark._jsc.hadoopConfiguration()), hadoop.Path
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder of the current version; None if the table was never written by ``replace_table``."""
+    files, at = _files(spark, path)
+    pointer = at(f"{path}/{POINTER}")
+    if not files.util().exists(pointer):
+        return None
+    stream = files.open(pointer)
+    try:
+        name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+    return f"{path}/{VERSIONS}/{name}"
+
+
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The current version of a table, or the plain Parquet files of a folder without versions.
+
+    The version is chosen once: the reader sees that one whole, whatever is written meanwhile.
+    """
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(current_version(spark, path) or path)
+
+
+def replace_table(df: DataFrame, path: str, keep: int = 2) -> str:
+    """Write a new version, then point to it; returns its folder.
+
+    The pointer is a small file that is replaced by one rename, so that a reader at any time finds the old
+    version or the new one, each whole, and a writer that dies leaves the old one in place. ``keep`` versions stay
+    for readers that have begun; older ones, and those of writers that died before, go.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(f"{path}/{VERSIONS}/{name}")
+    _point(spark, path, name)
+    files, at = _files(spark, path)
+    for x in files.util().listStatus(at(path)):  # plain files from before the first version would be read beside it
+        if not x.getPath().getName().startswith("_"):
+            files.delete(x.getPath(), True)
+    listing = files.util().listStatus(at(f"{path}/{VERSIONS}"))
+    found = sorted(x.getPath().getName() for x in listing)
+    for old in [n for n in found if n < name][: -(keep - 1) or None]:
+        files.delete(at(f"{path}/{VERSIONS}/{old}"), True)
+    return f"{path}/{VERSIONS}/{name}"
+
+
+def _point(spark: SparkSession, path: str, name: str) -> None:
+    files, at = _files(spark, path)
+    jvm, beside = spark._jvm, at(f"{path}/{POINTER}-{uuid.uuid4().hex}")
+    flags = jvm.java.util.EnumSet.of(jvm.org.apache.hadoop.fs.CreateFlag.CREATE)
+    stream = files.create(beside, flags, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.CreateOpts, 0))
+    stream.write(bytearray(name, "utf-8"))
+    stream.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(beside, at(f"{path}/{POINTER}"), how)
 
 
 def create_view(df: DataFrame, name: str, keep: bool = False) -> None:
@@ -68,11 +124,12 @@ def create_view(df: DataFrame, name: str, keep: bool = False) -> None:
 
 def delete_owned(spark, path: str, owner: str, key: str | None = None, column: str = "user_id", id_column: str = "id") -> None:
     """Rewrite a table without an owner's rows, or without one of them."""
-    df = spark.read.parquet(path)
+    df = read_table(spark, path)
     mine = F.col(column) == owner
     gone = mine if key is None else mine & (F.col(id_column) == key)
     replace_table(df.filter(~F.coalesce(gone, F.lit(False))), path)
 
 
 def insert_rows(df: DataFrame, path: str, check: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    (check(df) if check else df).write.mode("append").option("compression", "zstd").parquet(path)
+    """Append to the current version, or to a folder without versions."""
+    (check(df) if check else df).write.mode("append").option("compression", "zstd").parquet(current_version(df.sparkSession, path) or path)
