@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from millrace.functions import numeric, parse, text
@@ -11,6 +9,7 @@ from millrace.operators import aggregates, cleaning, cohort, compare, filters, g
 from millrace.plans import products
 from millrace.plans.registry import ORACLES, QUERIES, query, table
 from millrace.sources import sinks
+from millrace.storage import written
 from millrace.streaming import feed
 
 FLAGSHIP = "agg4_grouping_sets"
@@ -921,9 +920,11 @@ def ts11_seasonal_naive(spark, d):
     return timeseries.naive(_hourly(spark, d), future, 24).withColumn("prediction", F.round("prediction", 4))
 
 
-@query("SELECT CAST(s AS INT) AS step, TIMESTAMP '2001-08-01' + to_months(CAST(s AS INT)) AS period FROM range(1, 13) t(s)")
+@query("SELECT CAST(s AS INT) AS step, m + to_months(CAST(s AS INT)) AS period FROM range(1, 13) t(s), (SELECT CAST(max(date_trunc('month', o_orderdate)) AS TIMESTAMP) AS m FROM orders)")
 def ts17_future_calendar(spark, d):
-    return timeseries.future_calendar(spark, datetime(2001, 8, 1), "monthly", 12)
+    """The twelve months behind the last one with an order."""
+    last = timeseries.period_sums(table(spark, d, "orders"), "o_orderdate", "o_totalprice", "monthly").agg(F.max("period")).first()[0]
+    return timeseries.future_calendar(spark, last, "monthly", 12)
 
 
 @query("SELECT 'hourly' AS frequency, count(*) AS n FROM (SELECT DISTINCT date_trunc('hour', ts) FROM events)")
@@ -1037,14 +1038,15 @@ _CUSTOMER_MODEL = {
 
 @query()
 def p4_batch_scoring(spark, d):
-    """20 000 raw transactions of 5 000 customers: read, clean, aggregate, score, summarise."""
-    k = F.col("id")
-    day = F.date_format(F.date_sub(F.lit("2011-09-30").cast("date"), F.pmod(F.xxhash64("id"), F.lit(500)).cast("int")), "yyyy-MM-dd")
-    raw = spark.range(20_000).select(
-        F.concat(F.lit("C"), (k % 5000).cast("string")).alias("customer"), F.concat(F.lit("O"), k.cast("string")).alias("order"), day.alias("date"), (k % 9 + 1).cast("string").alias("quantity"), F.concat((k % 50 + 1).cast("string"), F.lit(".25")).alias("value"), F.when(k % 3 == 0, "VN").otherwise("UK").alias("country"), F.concat(F.lit("P"), (k % 300).cast("string")).alias("product"),
+    """Every line of every order as a raw transaction: read, clean, aggregate, score, summarise."""
+    lines = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    price = (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(18,2)").cast("string")
+    raw = lines.select(
+        F.concat(F.lit("C"), "o_custkey").alias("customer"), F.concat(F.lit("O"), "o_orderkey").alias("order"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+        F.col("l_quantity").cast("int").cast("string").alias("quantity"), price.alias("value"), F.lit("VN").alias("country"), F.concat(F.lit("P"), "l_partkey").alias("product"),
     )
     tx, _ = products.prepare_transactions(raw)
-    features = products.customer_features(tx, F.lit("2011-10-01"))
+    features = products.customer_features(written(tx, "transactions"), F.lit("2000-01-01"))
     p = scoring.boosted(_CUSTOMER_MODEL, [F.col("recency_days"), F.col("tenure_days"), F.col("orders_90d")])
     return products.score_customers(features, p)[1]
 
