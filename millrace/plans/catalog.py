@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import numeric, parse, text
-from millrace.operators import aggregates, cleaning, cohort, compare, filters, geo, joins, market, metrics, ordering, profiling, sampling, scoring, sets, textrules, timeseries, windows
+from millrace.operators import aggregates, cleaning, cohort, compare, filters, geo, joins, market, metrics, ordering, profiling, saletext, sampling, scoring, sets, textrules, timeseries, windows
 from millrace.plans import products
 from millrace.plans.registry import ORACLES, QUERIES, query, table
 from millrace.sources import sinks
@@ -968,9 +968,40 @@ def ml17_calibrators(spark, d):
     return spark.createDataFrame([("sigmoid", slope, intercept), ("beta", beta["a"], beta["c"])], "kind string, slope double, intercept double")
 
 
-@query(f"SELECT count(*) AS n, count(*) FILTER (regexp_matches(t, '{textrules.SALE}') AND NOT regexp_matches(t, '{textrules.RENT}') AND NOT regexp_matches(t, '{textrules.WANTED}')) AS strict FROM (SELECT {_FOLDED.format(c='title')} AS t FROM {_LISTING_SQL})")
+@query(
+    f"""SELECT count(*) AS n, count(*) FILTER (regexp_matches(t, '\\b(ban|chuyen nhuong)\\b') AND NOT regexp_matches(t, '\\b(cho thue|tim nguoi thue|can thue|tim thue|gia thue)\\b')
+  AND NOT regexp_matches(t, '\\b(khong ban|chua ban|can mua|tim mua|ban va cho thue|ban hoac cho thue)\\b')) AS strict FROM (SELECT {_FOLDED.format(c="title")} AS t FROM {_LISTING_SQL})"""
+)
 def txt3_strict_sale(spark, d):
-    return _listings(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(textrules.strict_sale(F.col("title"))).alias("strict"))
+    return _listings(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(saletext.strict_sale(F.col("title"))).alias("strict"))
+
+
+@query(
+    f"""WITH x AS (SELECT {_FOLDED.format(c="title")} AS t, left({_FOLDED.format(c="description")}, 300) AS d FROM {_LISTING_SQL}), f AS (SELECT t, d,
+  regexp_matches(t, '\\b(can ban|chinh chu ban|ban gap|ban nhanh|gia ban|chuyen nhuong|rao ban|ban (nha|can ho|chung cu|dat|biet thu|lo|nen|shophouse|khach san|toa nha|mat tien|kho|xuong|trang trai|van phong))\\b') AS sale,
+  regexp_matches(t, '\\b(dang cho thue|hien (dang )?cho thue|hop dong (cho )?thue|dong tien|thu nhap|doanh thu|khai thac cho thue)\\b') AS cash,
+  regexp_matches(t, '\\b(cho thue|gia thue|can cho thue)\\b') OR regexp_matches(t, '(/\\s*thang\\b|\\b(trieu|tr|trd)\\s*/\\s*thang\\b)') AS rents,
+  regexp_matches(t, '\\b(can mua|tim mua|can thue|tim thue|khong ban|chua ban)\\b') AS wanted,
+  regexp_matches(t || chr(1) || d, '\\b(ban\\s*(hoac|va|hay|/)\\s*(cho )?thue|vua ban vua cho thue|cho thue (hoac|va) ban)\\b') AS dual,
+  regexp_matches(t, '^\\W*((chinh chu |can |gap )*cho thue\\b|(villa )?for\\s*rent\\b)') AS t_opens, regexp_matches(d, '^\\W*((chinh chu |can |gap )*cho thue\\b|(villa )?for\\s*rent\\b)') AS d_opens,
+  regexp_matches(d, '^\\W*(chinh chu |can |gap )?(ban\\b|chuyen nhuong\\b)') AS d_sells FROM x), r AS (SELECT *, rents AND NOT cash AS rent FROM f)
+SELECT CASE WHEN wanted THEN 'wanted_or_negated_title' WHEN dual THEN 'dual_offer' WHEN sale AND (rent OR d_opens) THEN 'sale_title_rental_offer_conflict' WHEN rent AND d_sells THEN 'rent_title_sale_opening_conflict'
+  WHEN sale AND cash THEN 'explicit_sale_with_cashflow' WHEN sale THEN 'explicit_sale_title' WHEN rent AND (t_opens OR d_opens) THEN 'explicit_rental_title' WHEN rent THEN 'rental_context_without_primary_rental_offer'
+  ELSE 'insufficient_primary_title_intent' END AS reason, count(*) AS n FROM r GROUP BY 1"""
+)
+def txt2_later_intent(spark, d):
+    return _listings(spark, d).select(saletext.intent(F.col("title"), F.col("description"))["reason"].alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def txt8_target_basis(spark, d):
+    """What the stored price of each order's listing is, by the prices that its texts state."""
+    k, price = F.col("o_orderkey"), F.round(F.col("o_totalprice") / 100).cast("long").cast("string")
+    title = F.when(k % 3 == 0, F.concat(F.lit("Bán nhà giá "), price, F.lit(" triệu"))).when(k % 3 == 1, F.concat(F.lit("Bán đất "), price, F.lit(" triệu/m²"))).otherwise("Bán đất")
+    body = F.when(k % 5 == 0, F.concat(F.lit("giá "), price, F.lit(" triệu/sào"))).when(k % 5 == 1, F.concat(F.lit("Giá bán: "), price, F.lit(" tr, khoảng 9 tỷ 500"))).otherwise(F.concat(F.lit("Giá "), price, F.lit(" triệu")))
+    rows = table(spark, d, "orders").select("o_orderkey", title.alias("t"), body.alias("d"), F.round(F.col("o_totalprice") / 100).alias("p"))
+    prices = saletext.listing_prices(F.col("t"), F.col("d"), F.lit(40.0))
+    return rows.select("o_orderkey", saletext.target_basis(F.col("p"), prices).alias("b")).select("o_orderkey", "b.*")
 
 
 @query()

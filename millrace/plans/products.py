@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import parse
 from millrace.functions.numeric import line_amount, round_even
 from millrace.functions.text import MISSING_HEALTH, MISSING_MODEL, fold, norm_missing
-from millrace.operators import aggregates, cleaning, filters, forecasting, profiling, scoring, textrules, timeseries
+from millrace.operators import aggregates, cleaning, filters, forecasting, profiling, saletext, scoring, textrules, timeseries
 from millrace.operators.windows import gap_features
 
 #: Statuses of cancelled or refunded orders, folded.
@@ -131,14 +131,15 @@ def verified_sales(listings: DataFrame, provinces: dict[str, str]) -> tuple[Data
     c = F.col
     scope = c("price").between(2e8, 1e11) & c("area").between(15, 1500)
     base = listings.withColumn("price", c("price").try_cast("double")).filter(F.coalesce(scope, F.lit(False)))
-    priced = textrules.extract_prices(base.withColumn("is_sale", textrules.strict_sale(c("name"))), "name", "description", "area", strict=True)
+    agreed = saletext.verified_price(c("name"), c("description"), c("price").cast("string"))
+    priced = base.withColumns({"is_sale": saletext.strict_sale(c("name")), "verified": agreed})
     names = F.create_map(*[F.lit(x) for kv in provinces.items() for x in kv])
     place = F.try_element_at(names, fold(F.trim(c("province_name"))))
     when = parse.parse_date(c("published_at"))
     unit = c("price") / c("area")
     reasons = [
         ("intent", ~c("is_sale")),
-        ("unverified_total_price", ~textrules.all_agree(c("prices"), c("price"))),
+        ("unverified_total_price", c("verified").isNull()),
         ("unit_price_scope", ~unit.between(2e6, 5e8)),
         ("unknown_province", place.isNull()),
         ("unknown_area", (F.trim(F.coalesce(c("district_name"), F.lit(""))) == "") | (F.length(F.trim("district_name")) > 100)),
