@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
+from collections import Counter, deque
 from functools import lru_cache
 from pathlib import Path
 
@@ -99,19 +99,41 @@ def file_features(text: str, n_tokens: int) -> tuple[float, float, float]:
     return float(bool(CODE.search(text))), float(any(k in text.lower() for k in KEYWORDS)), float(n_tokens * 200 > len(text))
 
 
-def words_before(text: str, start: int, many: int = 3) -> str:
-    """The last ``many`` words of the line before ``start``, whole, and the characters up to it."""
-    at = start
-    for _ in range(many):
-        while at and text[at - 1] in " \t":
-            at -= 1
-        if not at or text[at - 1] == "\n":
-            break
-        at = max(text.rfind(x, 0, at) for x in " \t\n") + 1
-    return text[at:start]
+WORD = re.compile(r"[^ \t\n]+|\n")
 
 
-def token_features(text: str, start: int, end: int, glued: bool, of_file: tuple[float, float, float]) -> list[float]:
+def contexts(text: str, tokens: list[tuple[int, int]], many: int = 3):
+    """For each token where its last ``many`` words of the line before it begin, and whether they hold a cue, and a false cue.
+
+    Words and cues are passed once, in step with the tokens, so that a line of any length costs its length.
+    """
+    words, cues, false_cues = WORD.finditer(text), CUE.finditer(text), FALSE_CUE.finditer(text)
+    line, last, word = 0, deque(maxlen=many), next(words, None)
+    cue, next_cue, false, next_false = -1, next(cues, None), -1, next(false_cues, None)
+    for start, _ in tokens:
+        while word and word.start() < start:
+            if word[0] == "\n":
+                line = word.end()
+                last.clear()
+            else:
+                last.append(word.start())
+            word = next(words, None)
+        while next_cue and next_cue.end() <= start:
+            cue, next_cue = next_cue.start(), next(cues, None)
+        while next_false and next_false.end() <= start:
+            false, next_false = next_false.start(), next(false_cues, None)
+        at = last[0] if len(last) == many else line
+        yield at, cue >= at, false >= at
+
+
+def last_sign(text: str, at: int, start: int) -> str:
+    """The last character from ``at`` on before ``start`` that is neither a blank nor a quote."""
+    while start > at and text[start - 1] in " \"'`":
+        start -= 1
+    return text[start - 1 : start] if start > at else ""
+
+
+def token_features(text: str, start: int, end: int, glued: bool, context: tuple[int, bool, bool], of_file: tuple[float, float, float]) -> list[float]:
     """Shape, neighbouring words and file features of one token, in the order of FEATURES."""
     token = text[start:end]
     n = len(token)
@@ -121,13 +143,14 @@ def token_features(text: str, start: int, end: int, glued: bool, of_file: tuple[
     counts = np.array(list(seen.values())) / n
     entropy = float(-(counts * np.log2(counts)).sum())
     changes = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]))
-    near = left = words_before(text, start)
-    bare = left.rstrip(" \"'`")
+    at, cue, false_cue = context
+    left = text[max(at, start - 1) : start]
+    assigned = last_sign(text, at, start) in (":", "=")
     flags = (
         True, all(c in "0123456789abcdefABCDEF-" for c in seen), upper, lower, upper and lower, digits / n < 0.15, 0.15 <= digits / n < 0.7, digits / n >= 0.9,
         n >= 12, n >= 16, n >= 24, n >= 32, entropy >= 3, entropy >= 3.5, entropy >= 4, changes >= 4, token.count("-") + token.count("/") >= 2, token.count(".") >= 2,
-        bool(PREFIX.match(token)), left[-1:] == "@" or text[end : end + 1] == "@", bool(CUE.search(near)), bool(FALSE_CUE.search(near)), bare[-1:] in (":", "="), left[-1:] in ("'", '"', "`"), glued,
-        not digits, len(INNER.findall(token)) >= 3, bool(PLAIN.fullmatch(token)), bool(CUE.search(near)) and bare[-1:] in (":", "="), bool(CUE.search(near)) and digits > 0,
+        bool(PREFIX.match(token)), left == "@" or text[end : end + 1] == "@", cue, false_cue, assigned, left in ("'", '"', "`"), glued,
+        not digits, len(INNER.findall(token)) >= 3, bool(PLAIN.fullmatch(token)), cue and assigned, cue and digits > 0,
     )
     return [*map(float, flags), *of_file]
 
@@ -138,9 +161,9 @@ def runs_of(text: str) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
     if not tokens:
         return []
     of_file, out = file_features(text, len(tokens)), []
-    for k, (start, end) in enumerate(tokens):
+    for k, ((start, end), context) in enumerate(zip(tokens, contexts(text, tokens))):
         glued = bool(k) and start - tokens[k - 1][1] == 1
-        row = token_features(text, start, end, glued, of_file)
+        row = token_features(text, start, end, glued, context, of_file)
         if k and "\n" not in text[tokens[k - 1][1] : start]:
             out[-1][0].append((start, end))
             out[-1][1].append(row)

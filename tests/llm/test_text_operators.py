@@ -308,13 +308,38 @@ def test_viterbi_is_the_best_path():
 
 def test_secret_tokens_are_seen_whole():
     long_token = "a" * 300 + "Qw3Er5Ty7Ui9"
-    assert secret_crf.token_features(long_token, 0, len(long_token), False, (0.0, 0.0, 0.0))[secret_crf.FEATURES.index("has_upper")] == 1.0
+    assert secret_crf.token_features(long_token, 0, len(long_token), False, (0, False, False), (0.0, 0.0, 0.0))[secret_crf.FEATURES.index("has_upper")] == 1.0
     wide = "the private " + "k" * 90 + "ey is: "
-    assert secret_crf.words_before("x\n" + wide, len(wide) + 2) == wide[4:]
+    ((at, _, _),) = secret_crf.contexts("x\n" + wide, [(len(wide) + 2, len(wide) + 9)])
+    assert ("x\n" + wide)[at:] == wide[4:]
     text = "my password is hunter29 now, and the token: Zx9kQ2mB7vN4tR8w"
     assert {text[a:b] for _, a, b in secret_crf.crf_spans(text, secret_crf.shipped())} >= {"hunter29", "Zx9kQ2mB7vN4tR8w"}
 
 
+def test_words_before_a_token_are_those_of_a_plain_search():
+    """Three words of the line, whole, wherever blanks, tabs and line ends are."""
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice(["abcdef12", "key", "phone:", " ", "  ", "\t", "\n", ",", "x", "'", "="]) for _ in range(rng.randrange(40)))
+        tokens = [m.span() for m in secret_crf.TOKEN.finditer(text)]
+        for (start, _), (at, cue, false_cue) in zip(tokens, secret_crf.contexts(text, tokens)):
+            line = text[:start].rpartition("\n")[2]
+            words = [m.start() for m in re.finditer(r"[^ \t]+", line)]
+            near = line[words[-3] :] if len(words) >= 3 else line
+            assert text[at:start] == near and cue == bool(secret_crf.CUE.search(near)) and false_cue == bool(secret_crf.FALSE_CUE.search(near))
+
+
+@pytest.mark.parametrize("piece", ["word, ", "x1y2z3w4q5,", "password=ab12cd34ef56 "])
+def test_a_line_without_end_takes_time_in_proportion(piece):
+    took = []
+    for size in (100_000, 800_000):
+        text = piece * (size // len(piece))
+        began = time.process_time()
+        secret_crf.runs_of(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * max(took[0], 0.05)
+
+
 def test_shipped_weights_are_those_of_training():
     for a, b in zip(secret_crf.shipped(), secret_crf.trained()):
         assert np.allclose(a, b, atol=1e-3)
