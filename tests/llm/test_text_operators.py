@@ -1,7 +1,9 @@
 """Each operator on documents against a brute-force version, on the awkward fixture."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
