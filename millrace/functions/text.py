@@ -93,6 +93,28 @@ def reject_headers(names: list[str]) -> None:
         raise ValueError("headers must be present and distinct")
 
 
+#: The headers under which customer files hold each of the ten fields; the first six are required.
+CUSTOMER_FIELDS = {
+    "customer": ["customer_id", "customerid", "buyer_id", "buyerid", "user_id", "user", "khach_hang", "ma_khach_hang", "username"],
+    "order": ["order_id", "invoice_no", "invoiceno", "invoice", "order_code", "ma_don_hang"],
+    "date": ["order_date", "invoice_date", "invoicedate", "created_at", "purchase_date", "ngay_mua", "ngay_dat_hang"],
+    "quantity": ["quantity", "qty", "so_luong"],
+    "value": ["unit_price", "unitprice", "price", "amount", "total", "order_value", "revenue", "gia", "gia_tri_don"],
+    "country": ["country", "nation", "quoc_gia"],
+    "product": ["stockcode", "stock_code", "product_id", "product", "product_name", "item", "description", "sku", "san_pham"],
+    "rating": ["rating", "stars", "star", "review_score", "danh_gia", "so_sao"],
+    "feedback": ["review", "feedback", "comment", "review_text", "phan_hoi", "nhan_xet"],
+    "status": ["order_status", "status", "trang_thai", "trang_thai_don"],
+}
+REQUIRED_FIELDS = ("customer", "order", "date", "quantity", "value", "country")
+
+
+def customer_columns(names: list[str]) -> tuple[dict[str, str | None], list[str]]:
+    """The column of each of the ten fields, None where none or several fit, and the required fields without one."""
+    found = map_columns(names, CUSTOMER_FIELDS)
+    return found, [f for f in REQUIRED_FIELDS if found[f] is None]
+
+
 def map_columns(names: list[str], aliases: dict[str, list[str]], preferred: dict[str, list[str]] | None = None) -> dict[str, str | None]:
     """Logical field -> the one column whose folded name is among its aliases; None if none or several."""
     key = lambda n: snake_headers([n])[0].replace("_", "")

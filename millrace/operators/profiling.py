@@ -145,3 +145,38 @@ def cross_totals(df: DataFrame, parts: dict[str, Column]) -> DataFrame:
 def file_checksums(spark, path: str) -> DataFrame:
     """SHA-256 of each file."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length")
+
+
+def treemap(df: DataFrame, label: str, value: str, width: float, height: float, charts: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """(charts, label, x, y, w, h): rectangles that tile the area of each chart, their areas in proportion to the values.
+
+    A chart's groups, by the column ``order`` or else largest first, then by label, are cut in two where half of their weight is reached, the longer side
+    of the area is divided accordingly, and each half is cut again. Groups without a positive value get no
+    rectangle. A chart is a bounded group: one row per tile.
+    """
+    import numpy as np
+    import pandas as pd
+
+    keys = charts or []
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_order", "_label"], kind="stable")
+        upto = np.concatenate([[0.0], (pdf["_value"] / pdf["_value"].max()).cumsum()])
+        areas, open_ = np.zeros((len(pdf), 4)), [(0, len(pdf), 0.0, 0.0, width, height)]
+        while open_:
+            a, b, x, y, w, h = open_.pop()
+            if b - a == 1:
+                areas[a] = x, y, w, h
+                continue
+            cut = a + 1 + int(np.searchsorted(upto[a + 1 : b - 1], (upto[a] + upto[b]) / 2))
+            share = (upto[cut] - upto[a]) / (upto[b] - upto[a])
+            across = w >= h
+            open_.append((a, cut, x, y, w * share if across else w, h if across else h * share))
+            open_.append((cut, b, x + w * share if across else x, y if across else y + h * share, w * (1 - share) if across else w, h if across else h * (1 - share)))
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, label: pdf["_label"], "x": areas[:, 0], "y": areas[:, 1], "w": areas[:, 2], "h": areas[:, 3]})
+
+    types = dict(df.dtypes)
+    v = F.col(value).cast("double")
+    rows = df.filter((v > 0) & (v < float("inf"))).select(*keys, F.col(label).alias("_label"), v.alias("_value"), (F.col(order) if order else -v).alias("_order"))
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, label]) + ", x double, y double, w double, h double"
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all", *keys).applyInPandas(tile, schema)

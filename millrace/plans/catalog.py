@@ -725,7 +725,7 @@ def agg26_score_summary(spark, d):
 @query()
 def agg33_bootstrap(spark, d):
     rows = _scored(spark, d).withColumn("base", F.lit(0.5))
-    return metrics.bootstrap_difference(rows, "y", "p", "base", resamples=200)
+    return metrics.bootstrap_difference(rows, "y", "p", "base", "o_orderkey", resamples=200)
 
 
 @query(
@@ -1082,4 +1082,11 @@ def p4_batch_scoring(spark, d):
     return products.score_customers(features, p)[1]
 
 
+@query()
+def prf15_treemap(spark, d):
+    """Customers of each region by nation, as tiles."""
+    nations = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return profiling.treemap(nations, "n_name", "n", 300.0, 200.0, ["n_regionkey"]).select("n_regionkey", "n_name", *[F.round(c, 6).alias(c) for c in "xywh"])
+
+
 from millrace.plans import forecast_queries  # noqa: E402, F401  (registers its queries here)

@@ -233,9 +233,12 @@ def test_perfect_and_tied_rankings(spark):
 
 
 def test_bootstrap_interval_holds_the_difference(spark):
-    df = spark.createDataFrame([(i % 2, 0.8 if i % 2 else 0.3, 0.5) for i in range(300)], "y int, a double, b double")
-    r = metrics.bootstrap_difference(df, "y", "a", "b", 100).first()
-    assert r["low"] <= -0.185 <= r["high"]
+    df = spark.createDataFrame([(i, i % 2, 0.8 if i % 2 else 0.3, 0.5) for i in range(300)], "id int, y int, a double, b double")
+    r = metrics.bootstrap_difference(df, "y", "a", "b", "id", 400).first()
+    # both errors are constant by class: the difference is the share of ones between -0.21 and -0.16
+    assert r["low"] <= -0.185 <= r["high"] and abs((r["high"] - r["low"]) - 2 * 1.96 * 0.05 / 2 / 300**0.5) < 0.002
+    again = metrics.bootstrap_difference(df.orderBy(F.rand(5)).repartition(7), "y", "a", "b", "id", 400).first()
+    assert all(abs(again[c] - r[c]) < 1e-12 for c in ("low", "median", "high"))
 
 
 def test_shapley_adds_up(spark):
