@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import numeric, parse, text
-from millrace.operators import aggregates, cleaning, cohort, compare, filters, geo, joins, market, metrics, ordering, profiling, saletext, sampling, scoring, sets, textrules, timeseries, windows
+from millrace.operators import aggregates, cleaning, cohort, compare, filters, geo, joins, kernels, market, metrics, ordering, profiling, saletext, sampling, scoring, sets, textrules, timeseries, windows
 from millrace.plans import products
 from millrace.plans.registry import ORACLES, QUERIES, query, table
 from millrace.sources import sinks
@@ -758,10 +758,11 @@ def ml5_nearest_neighbours(spark, d):
 
 @query()
 def ml5_kernel_machine(spark, d):
-    """A kernel machine and a line, cross-validated on the customers."""
+    """A kernel machine fitted to a band of balances, which no line can tell apart: its confusion counts on the customers."""
     rows = table(spark, d, "customer").select("c_custkey", (F.abs(F.col("c_acctbal") - 4500) < 2700).cast("int").alias("target"), "c_acctbal", "c_nationkey")
-    found = compare.compare_models(rows, "target", ["c_acctbal", "c_nationkey"], [], "c_custkey", names=["Support Vector Machine", "Logistic Regression"])
-    return spark.createDataFrame([(r["model"], r["rank"], float(r["cv_score"]), float(r["test_score"]), r["overfit"]) for r in found], "model string, rank int, cv_score double, test_score double, overfit string")
+    prep = compare.fit_preprocessor(rows, ["c_acctbal", "c_nationkey"], [])
+    encoded = compare.transform(rows, prep, "target")
+    return metrics.confusion(kernels.KernelMachine("classification").fit(encoded).transform(encoded), "label", "prediction")
 
 
 # ---- texts
