@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.numeric import is_finite
 from millrace.functions.parse import ambiguous_number, locale_number
 from millrace.operators.aggregates import exact_sum
+from millrace.operators.columns import cell_counts, leakage_audit  # noqa: F401
 from millrace.operators.quantiles import long_values, with_quantiles
 
 
@@ -20,11 +21,13 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         v = F.when(is_finite(F.col(c).cast("double")), F.col(c).cast("double"))
         aggs.append(
             F.struct(
-                F.lit(c).alias("name"), F.count(v).alias("n_valid"), F.count_if(F.col(c).isNull()).alias("n_missing"), F.count_distinct(c).alias("n_unique"), F.round(exact_sum(v) / F.count(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
+                F.lit(c).alias("name"), F.count(v).alias("n_valid"), F.count_if(F.col(c).isNull()).alias("n_missing"), F.round(exact_sum(v) / F.count(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
             ).alias(f"s_{c}")
         )
     wide = df.agg(*aggs)
     stats = wide.select(F.explode(F.array(*[F.col(x) for x in wide.columns])).alias("s")).select("s.*")
+    cells = cell_counts(df, columns)  # counted before the shuffle; distinct counts inside one aggregate would multiply the rows
+    stats = stats.join(cells.groupBy("name").agg(F.count("value").alias("n_unique")), "name")
     values = long_values(df, {c: F.when(is_finite(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns})
     out = with_quantiles(stats, values, ["name"], "value", (0.5,), "_median").withColumn("median", F.col("_median")[0])
     return out.select("name", "n_valid", "n_missing", "n_unique", "mean", "median", "std", "min", "max")
@@ -56,18 +59,15 @@ UUID = r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
 
 def model_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Kind, uniqueness, missing and malformed cells, date, id and cardinality flags of string columns, in one pass."""
-    aggs = []
-    for c in columns:
-        t = F.col(c)
-        aggs.append(
-            F.struct(
-                F.lit(c).alias("name"), F.count(t).alias("n"), F.count_if(t.isNull()).alias("missing"), F.count_distinct(t).alias("n_unique"), F.count(locale_number(t)).alias("n_numeric"), F.count_if(ambiguous_number(t)).alias("n_ambiguous"),
-                F.count_if(t.rlike(DATE_LIKE) | t.rlike(TIME_LIKE)).alias("n_date"), F.count_if(t.rlike(UUID)).alias("n_uuid"), F.lit(bool(ID_NAME.search(c))).alias("id_name"),
-            ).alias(f"s_{c}")
-        )
-    wide = df.agg(*aggs)
-    s = wide.select(F.explode(F.array(*[F.col(x) for x in wide.columns])).alias("s")).select("s.*")
+    """Kind, uniqueness, missing and malformed cells, date, id and cardinality flags of string columns, from cells counted once."""
+    t, rows = F.col("value"), F.col("n")
+    total = lambda ok: F.coalesce(F.sum(F.when(ok, rows)), F.lit(0)).cast("long")
+    counted = cell_counts(df, columns).groupBy("name").agg(
+        total(t.isNotNull()).alias("n"), total(t.isNull()).alias("missing"), F.count(t).alias("n_unique"), total(locale_number(t).isNotNull()).alias("n_numeric"), total(ambiguous_number(t)).alias("n_ambiguous"),
+        total(t.rlike(DATE_LIKE) | t.rlike(TIME_LIKE)).alias("n_date"), total(t.rlike(UUID)).alias("n_uuid"),
+    )
+    names = df.sparkSession.createDataFrame([(c, bool(ID_NAME.search(c))) for c in columns], "name string, id_name boolean")
+    s = names.join(counted, "name", "left").na.fill(0)
     share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n")), F.lit(0.0))
     numeric = (F.col("n") > 0) & (F.col("n_ambiguous") == 0) & (share("n_numeric") >= 0.9)
     s = s.withColumns({"kind": F.when(numeric, "numeric").otherwise("categorical"), "unique_ratio": F.round(share("n_unique"), 6), "is_date": share("n_date") >= 0.9})
@@ -79,28 +79,6 @@ def model_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return s.select("name", "kind", "n_unique", "unique_ratio", "missing", malformed.alias("malformed_numeric"), F.col("n_ambiguous").alias("ambiguous_numeric"), "is_date", "id_like", high.alias("high_cardinality"), task.alias("suggested_task"), target.alias("target_candidate"))
 
 
-SUSPICIOUS = re.compile(r"target|label|outcome|result|predict", re.IGNORECASE)
-
-
-def leakage_audit(df: DataFrame, target: str, features: list[str]) -> DataFrame:
-    """One row per feature: copy of the target, decides the target, correlation with it, suspicious name."""
-    n = df.count()
-    y = F.col(target)
-    out = None
-    for f in features:
-        x = F.col(f)
-        per = df.filter(x.isNotNull() & y.isNotNull()).groupBy(x.cast("string").alias("v")).agg(F.count_distinct(y).alias("d"))
-        decides = per.agg((F.coalesce(F.max("d") == 1, F.lit(False)) & (F.count(F.lit(1)) <= min(30, n // 5)) & (F.count(F.lit(1)) > 1) & F.lit(n >= 10)).alias("decides_target"))
-        a, b = x.try_cast("double"), y.try_cast("double")
-        spread = (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0)
-        r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b)))
-        row = df.agg(F.coalesce(F.bool_and(x.cast("string").eqNullSafe(y.cast("string"))), F.lit(False)).alias("is_copy"), F.when(spread, F.round(r, 6)).alias("correlation"))
-        one = row.crossJoin(F.broadcast(decides)).select(F.lit(f).alias("feature"), "is_copy", "decides_target", "correlation", F.lit(bool(SUSPICIOUS.search(f))).alias("suspicious_name"))  # one row by one row
-        out = one if out is None else out.unionByName(one)
-    severity = F.when(F.col("is_copy"), "hard").when(F.col("decides_target") | (F.abs("correlation") >= 0.995) | F.col("suspicious_name"), "warning").otherwise("none")
-    return out.withColumn("severity", severity)
-
-
 def quality_row(df: DataFrame, numbers: list[str], keys: list[list[str]]) -> DataFrame:
     """Missing, non-positive and non-finite counts of numbers; distinct counts of keys without nulls in their last part."""
     aggs = []

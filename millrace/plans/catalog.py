@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import numeric, parse, text
-from millrace.operators import aggregates, cleaning, cohort, compare, filters, geo, joins, kernels, market, metrics, ordering, profiling, saletext, sampling, scoring, sets, textrules, timeseries, windows
+from millrace.operators import aggregates, cleaning, cohort, columns, compare, filters, geo, joins, kernels, market, metrics, ordering, profiling, saletext, sampling, scoring, sets, textrules, timeseries, windows
 from millrace.plans import products
 from millrace.plans.registry import ORACLES, QUERIES, query, table
 from millrace.sources import sinks
@@ -506,10 +506,95 @@ def prf6_model_profile(spark, d):
     return profiling.model_profile(o.select(*[F.col(c).cast("string").alias(c) for c in o.columns]), o.columns)
 
 
-@query()
+def _leakage_sql(source: str, target: str, features: tuple[str, ...], late: tuple[str, ...] = ()) -> str:
+    one = (
+        "SELECT '{f}' AS feature, s.same AS is_copy, s.n >= 10 AND s.k <= least(30, s.n // 5) AND s.most = 1 AND s.ys > 1 AS decides_target, s.r AS correlation, {late} AS suspicious_name FROM ("
+        "SELECT bool_and(x = y) AS same, count(*) AS n, count(DISTINCT x) AS k, count(DISTINCT y) AS ys, max(d) AS most,"
+        " CASE WHEN count(a) FILTER (b IS NOT NULL) >= 10 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN round(corr(a, b), 6) END AS r FROM ("
+        "SELECT *, TRY_CAST(x AS DOUBLE) AS a, TRY_CAST(y AS DOUBLE) AS b, 0 AS o FROM (SELECT CAST({f} AS VARCHAR) AS x, CAST({t} AS VARCHAR) AS y FROM src) WHERE x IS NOT NULL AND y IS NOT NULL)"
+        " JOIN (SELECT CAST({f} AS VARCHAR) AS x, count(DISTINCT {t}) AS d FROM src GROUP BY 1) USING (x)) s"
+    )
+    rows = " UNION ALL ".join(one.format(f=f, t=target, late=str(f in late).lower()) for f in features)
+    return (
+        f"WITH src AS ({source}) SELECT *, CASE WHEN is_copy THEN 'hard' WHEN decides_target OR coalesce(abs(correlation) >= 0.995, false) OR suspicious_name THEN 'warning' ELSE 'none' END AS severity FROM ({rows})"
+    )
+
+
+@query(_leakage_sql("SELECT *, o_orderstatus AS copy_of_status FROM orders", "o_orderstatus", ("copy_of_status", "o_orderpriority", "o_totalprice")))
 def prf7_leakage_audit(spark, d):
     o = table(spark, d, "orders").withColumn("copy_of_status", F.col("o_orderstatus"))
-    return profiling.leakage_audit(o, "o_orderstatus", ["copy_of_status", "o_orderpriority", "o_totalprice"])
+    return columns.leakage_audit(o, "o_orderstatus", ["copy_of_status", "o_orderpriority", "o_totalprice"])
+
+
+_LEAK = "SELECT *, CAST(l_quantity * 3 + l_tax AS DOUBLE) AS nearly, 'q' || CAST(CAST(l_quantity AS INT) % 7 AS VARCHAR) AS post_code, CASE WHEN l_linenumber < 5 THEN l_linenumber END AS sparse FROM lineitem"
+
+
+@query(_leakage_sql(_LEAK, "l_quantity", ("l_extendedprice", "l_discount", "nearly", "post_code", "sparse"), late=("post_code",)))
+def prf7_leakage_of_numbers(spark, d):
+    line = table(spark, d, "lineitem")
+    code = F.concat(F.lit("q"), (F.col("l_quantity").cast("int") % 7).cast("string"))
+    line = line.withColumns({"nearly": F.col("l_quantity") * 3 + F.col("l_tax"), "post_code": code, "sparse": F.when(F.col("l_linenumber") < 5, F.col("l_linenumber"))})
+    return columns.leakage_audit(line, "l_quantity", ["l_extendedprice", "l_discount", "nearly", "post_code", "sparse"])
+
+
+#: Orders as a raw file of texts: missing tokens, blanks, three date formats, words among numbers.
+_RAW = {
+    "id": "CAST(o_orderkey % 1000 AS {text})",
+    "status": "CASE WHEN o_orderkey % 7 = 0 THEN ' N/A ' WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderstatus END",
+    "sold_day": "CASE o_orderkey % 5 WHEN 0 THEN {dmy} WHEN 1 THEN {ymdhms} WHEN 2 THEN {ymd} WHEN 3 THEN 'on request' END",
+    "amount": "CASE WHEN o_custkey % 9 = 0 THEN '-' || CAST(o_custkey AS {text}) WHEN o_custkey % 10 = 0 THEN NULL WHEN o_custkey % 13 = 0 THEN 'about 5' ELSE CAST(o_custkey AS {text}) END",
+    "place": "'Street ' || CAST(o_custkey % 50 AS {text}) || ', ' || o_orderpriority",
+}
+_RAW_NAMES = list(_RAW)
+_RAW_DUCK = "SELECT " + ", ".join(
+    f"{e} AS {k}".format(text="VARCHAR", dmy="strftime(o_orderdate, '%d/%m/%Y %H:%M')", ymdhms="strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')", ymd="strftime(o_orderdate, '%Y-%m-%d')") for k, e in _RAW.items()
+) + " FROM orders"
+_RAW_CELLS = f"WITH raw AS ({_RAW_DUCK}), cells AS (" + " UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS name, {c} AS value FROM raw" for i, c in enumerate(_RAW_NAMES)) + ")"
+_PLAIN = r"'\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*'"
+
+
+def _raw_orders(spark, d):
+    forms = {"text": "STRING", "dmy": "date_format(o_orderdate, 'dd/MM/yyyy HH:mm')", "ymdhms": "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss')", "ymd": "date_format(o_orderdate, 'yyyy-MM-dd')"}
+    return table(spark, d, "orders").select(*[F.expr(e.format(**forms)).alias(k) for k, e in _RAW.items()])
+
+
+@query(
+    _RAW_CELLS + ", p AS (SELECT *, value IS NOT NULL AND lower(trim(value)) NOT IN ('', 'nan', 'null', 'none', 'n/a') AS ok FROM cells),"
+    f" q AS (SELECT *, CASE WHEN ok AND regexp_full_match(value, {_PLAIN}) THEN TRY_CAST(trim(value) AS DOUBLE) END AS x, CASE WHEN ok THEN try_strptime(value, ['%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%d/%m/%Y %H:%M']) END AS t FROM p)"
+    " SELECT name, count(*) AS n_rows, count(*) FILTER (NOT ok) AS n_missing, count(DISTINCT value) FILTER (ok) AS n_distinct, count(*) FILTER (ok) - count(DISTINCT value) FILTER (ok) AS n_repeated,"
+    " count(x) AS n_numeric, count(*) FILTER (ok AND x IS NULL) AS n_not_numeric, count(*) FILTER (x <= 0) AS n_nonpositive, min(x) AS least, max(x) AS greatest,"
+    " count(t) AS n_dates, min(t) AS first_date, max(t) AS last_date, min(value) FILTER (ok) AS least_text, max(value) FILTER (ok) AS greatest_text FROM q GROUP BY name"
+)
+def prf11_file_profile(spark, d):
+    return columns.file_profile(columns.cell_counts(_raw_orders(spark, d), _RAW_NAMES), _RAW_NAMES)
+
+
+@query(f"WITH raw AS ({_RAW_DUCK}), r AS (SELECT CASE WHEN id::INT % 3 = 0 THEN NULL ELSE status END AS status, CASE WHEN id::INT % 3 > 0 THEN place END AS place FROM raw) SELECT count(*) AS n_rows, count(*) FILTER (trim(coalesce(status, '')) = '' AND trim(coalesce(place, '')) = '') AS n_blank_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT status, place FROM r)) AS n_repeated_rows FROM r")
+def prf11_table_profile(spark, d):
+    third = F.col("id").cast("int") % 3 == 0
+    raw = _raw_orders(spark, d).select(F.when(~third, F.col("status")).alias("status"), F.when(~third, F.col("place")).alias("place"))
+    return columns.table_profile(raw, ["status", "place"])
+
+
+@query(_RAW_CELLS + " SELECT name, value, count(*) AS n, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, value ASC NULLS LAST) AS \"rank\" FROM cells GROUP BY name, value QUALIFY \"rank\" <= 30")
+def prf11_top_values(spark, d):
+    return columns.top_values(columns.cell_counts(_raw_orders(spark, d), _RAW_NAMES))
+
+
+@query(_RAW_CELLS + " SELECT trim(split_part(value, ',', -1)) AS value, count(*) AS n FROM cells WHERE name = 'place' GROUP BY 1")
+def prf11_last_tokens(spark, d):
+    return columns.derived_counts(columns.cell_counts(_raw_orders(spark, d), ["place"]), "place", columns.last_token)
+
+
+@query(
+    _RAW_CELLS + ", s AS (SELECT place, name, count(*) FILTER (ok) AS n, count(*) FILTER (ok AND regexp_matches(value, '^\\d+[-/]\\d')) AS dates, count(*) FILTER (ok AND regexp_full_match(value, '-?\\d+')) AS numbers"
+    " FROM (SELECT *, value IS NOT NULL AND lower(trim(value)) NOT IN ('', 'null', 'nan', 'na', 'n/a', 'none', '-', '--') AS ok FROM cells) GROUP BY place, name),"
+    " t AS (SELECT place, name, CASE WHEN dates / n > 0.7 THEN 'datetime' WHEN numbers / n > 0.7 THEN 'numeric' ELSE 'text' END AS type, dates / n + (name = 'sold_day')::INT AS date_score, numbers / n + (name = 'amount')::INT AS target_score FROM s),"
+    " best AS (SELECT name FROM t ORDER BY date_score DESC, place LIMIT 1), goal AS (SELECT name FROM t WHERE name NOT IN (FROM best) ORDER BY target_score DESC, place LIMIT 1)"
+    " SELECT name, type, date_score, target_score, false AS ambiguous_dates, CASE WHEN name IN (FROM best) AND date_score > 0.5 THEN 'time' WHEN name IN (FROM goal) THEN 'target' END AS suggested FROM t"
+)
+def prf8_inspection(spark, d):
+    return columns.inspection(columns.cell_counts(_raw_orders(spark, d), _RAW_NAMES), _RAW_NAMES)
 
 
 @query("SELECT count(*) FILTER (v IS NULL) AS v_missing, count(*) FILTER (v <= 0) AS v_nonpositive, CAST(0 AS BIGINT) AS v_nonfinite, count(DISTINCT (l_suppkey, l_returnflag)) AS l_suppkey_l_returnflag_keys FROM (SELECT *, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN -l_quantity ELSE l_quantity END AS v FROM lineitem)")
