@@ -161,3 +161,14 @@ def relative_seconds(c: Column) -> Column:
     for name, s in seconds.items():
         out = F.when(unit == name, n * s).otherwise(out)
     return out
+
+
+#: Seconds of the units of a relative time; a month has 30 days, a year 365.
+UNIT_SECONDS = {"giây": 1, "phút": 60, "giờ": 3600, "ngày": 86400, "tuần": 604800, "tháng": 2592000, "năm": 31536000}
+
+
+def phrase_seconds(c: Column) -> Column:
+    """Seconds of a text that is a relative time and nothing else, accents included; null for any other."""
+    phrase = rf"^(\d+) ({'|'.join(UNIT_SECONDS)}) trước$"
+    size = F.create_map(*[F.lit(x) for pair in UNIT_SECONDS.items() for x in pair])
+    return F.when(c.rlike(phrase), F.regexp_extract(c, phrase, 1).try_cast("long") * F.try_element_at(size, F.regexp_extract(c, phrase, 2)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.numeric import is_finite
 from millrace.functions.parse import ambiguous_number, locale_number
+from millrace.functions.text import phrase_seconds
 from millrace.operators.aggregates import exact_sum
 from millrace.operators.columns import cell_counts, leakage_audit  # noqa: F401
 from millrace.operators.quantiles import long_values, with_quantiles
@@ -120,6 +121,26 @@ def cross_totals(df: DataFrame, parts: dict[str, Column]) -> DataFrame:
     return df.agg(total.alias("total"), *[c.alias(k) for k, c in zip(parts, counts)], (sum(counts[1:], counts[0]) == total).alias("adds_up"))
 
 
+def relative_time_check(df: DataFrame, phrase: str, seen: str, stated: str, within: int = 60) -> DataFrame:
+    """One row: do relative phrases, taken from the time they were seen, agree with the stated times?
+
+    Rows with a readable phrase, those whose error is at most ``within`` seconds, and the exact median error.
+    Rows without one of the times count as readable, not as matching.
+    """
+    seconds = phrase_seconds(F.col(phrase))
+    apart = F.abs(F.unix_timestamp(seen) - F.unix_timestamp(stated) - seconds)
+    counts = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(seconds).alias("n_supported"), F.count_if(apart <= within).alias("n_matching"))
+    stats = counts.withColumn("check", F.lit("relative"))
+    values = df.select(F.lit("relative").alias("check"), apart.cast("double").alias("value")).filter("value IS NOT NULL")
+    out = with_quantiles(stats, values, ["check"], "value", (0.5,), "_median")
+    return out.select("n_rows", "n_supported", "n_matching", F.col("_median")[0].alias("median_seconds"))
+
+
+def unsupported_phrases(df: DataFrame, phrase: str) -> DataFrame:
+    """(phrase, n): the texts that are no relative time, with their rows."""
+    return df.filter(F.col(phrase).isNotNull() & phrase_seconds(F.col(phrase)).isNull()).groupBy(F.col(phrase).alias("phrase")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def file_checksums(spark, path: str) -> DataFrame:
     """SHA-256 of each file."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length")

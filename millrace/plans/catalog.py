@@ -822,6 +822,19 @@ def ml13_input_rules(spark, d):
     return _cohort(spark, d).select(scoring.input_reason().alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    """WITH o AS (SELECT o_orderdate AS t FROM orders), u AS (SELECT t, sum(count(*)) OVER (ORDER BY t) AS upto, row_number() OVER (ORDER BY t) AS place FROM o GROUP BY t),
+cut AS (SELECT max(place) AS groups, max(place) // 6 AS size FROM u WHERE upto <= (SELECT count(*) * 3 // 4 FROM o)),
+parts AS (SELECT 'fold ' || i AS part, groups - (5 - i) * size AS a, groups - (4 - i) * size AS b FROM cut, range(5) x(i) UNION ALL SELECT 'holdout', groups, NULL FROM cut)
+SELECT part, count(*) FILTER (place <= a) AS n_train, count(*) FILTER (place > a AND (b IS NULL OR place <= b)) AS n_rows, min(t) FILTER (place > a) AS begins, max(t) FILTER (b IS NULL OR place <= b) AS ends
+FROM o JOIN u USING (t), parts GROUP BY part"""
+)
+def ml1_temporal_plan(spark, d):
+    """What each fold and the holdout of an evaluation in time order learn from and judge."""
+    o = table(spark, d, "orders")
+    return compare.temporal_parts(o, "o_orderdate", compare.temporal_plan(o, "o_orderdate", "o_orderstatus"))
+
+
 @query()
 def ml5_model_comparison(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") > 250000).cast("int").alias("target"), F.month("o_orderdate").alias("m"), (F.col("o_totalprice") + F.pmod(F.xxhash64("o_orderkey", F.lit(3)), F.lit(200000))).alias("noisy"), "o_orderpriority")
@@ -1090,9 +1103,54 @@ def txt8_target_basis(spark, d):
     return rows.select("o_orderkey", saletext.target_basis(F.col("p"), prices).alias("b")).select("o_orderkey", "b.*")
 
 
-@query()
+_TITLES = (
+    "Bán nhà mặt phố Huế", "BÁN  NHÀ MẶT TIỀN, trong ngõ", "Chuyển nhượng nhà riêng", "Bán gấp lô đất nền", "Cần bán biệt thự liền kề", "Bán shophouses ven sông", "Không bán nhà riêng",
+    "Bán/cho thuê nhà mặt đường", "Bán và thuê biệt thự", "Cho thuê nhà riêng", "Nhà riêng giá tốt", "Bán khách sạn, đất vàng", "Bánh mì lô 5", "Bán căn hẻm 12", "Bán đấtnền",
+)
+_SOURCES = ("Nhà", "Biệt thự/Nhà liền kề", "Đất", "Shophouse", "Căn hộ")
+
+
+def _type_sql() -> str:
+    edge = lambda words: f"(^|[^\\p{{L}}\\p{{N}}_])({words})($|[^\\p{{L}}\\p{{N}}_])"  # noqa: E731 - SQL's \\b knows ASCII letters only
+    says = lambda words: f"regexp_matches(t, '{edge(words)}')"
+    street, private = says("nhà (?:mặt phố|mặt tiền|mặt đường)"), says("nhà riêng|hẻm|ngõ")
+    kind = (
+        f"CASE source WHEN 'Nhà' THEN CASE WHEN {street} AND {private} THEN NULL WHEN {street} THEN 'STREET_HOUSE' WHEN {private} THEN 'HOUSE' END"
+        f" WHEN 'Biệt thự/Nhà liền kề' THEN CASE WHEN {says('biệt thự|liền kề')} THEN 'VILLA' END WHEN 'Đất' THEN CASE WHEN {says('đất|lô|nền')} THEN 'LAND' END"
+        " WHEN 'Shophouse' THEN CASE WHEN contains(t, 'shophouse') THEN 'SHOPHOUSE' END END"
+    )
+    offered = f"{says('bán|chuyển nhượng')} AND NOT {says('cho thuê|cần thuê|tìm thuê|cần mua|tìm mua|không bán|chưa bán')} AND NOT {says('bán (?:hoặc|và|hay) thuê|bán/cho thuê|nhà xưởng|khách sạn|nhà máy')}"
+    pick = f"list_value({', '.join(repr(x) for x in _TITLES)})[o_orderkey % {len(_TITLES)} + 1] AS title, list_value({', '.join(repr(x) for x in _SOURCES)})[o_custkey % {len(_SOURCES)} + 1] AS source"
+    return f"SELECT title, source, CASE WHEN {offered} THEN {kind} END AS kind, count(*) AS n FROM (SELECT *, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS t FROM (SELECT {pick} FROM orders)) GROUP BY ALL"
+
+
+@query(_type_sql())
 def txt10_property_type(spark, d):
-    return _listings(spark, d).select(textrules.property_type(F.concat_ws(". ", "title", "description")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    pick = lambda words, key: F.array(*map(F.lit, words))[F.pmod(F.col(key), F.lit(len(words))).cast("int")]
+    rows = table(spark, d, "orders").select(pick(_TITLES, "o_orderkey").alias("title"), pick(_SOURCES, "o_custkey").alias("source"))
+    return rows.withColumn("kind", textrules.property_type(F.col("title"), F.col("source"))).groupBy("title", "source", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PHRASES = "CASE o_orderkey % 6 WHEN 0 THEN 'hôm nay' WHEN 1 THEN NULL WHEN 2 THEN CAST(o_orderkey % 9 AS {text}) || ' ngày trước' WHEN 3 THEN CAST(o_orderkey % 40 AS {text}) || ' phút trước' WHEN 4 THEN CAST(o_orderkey % 3 AS {text}) || ' năm trước' ELSE 'đăng 2 ngày trước' END"
+_APART = "CASE o_orderkey % 6 WHEN 2 THEN o_orderkey % 9 * 86400 WHEN 3 THEN o_orderkey % 40 * 60 ELSE o_orderkey % 3 * 31536000 END + o_custkey % 91"
+
+
+def _phrased(spark, d):
+    rows = table(spark, d, "orders").withColumn("phrase", F.expr(_PHRASES.format(text="STRING"))).withColumn("apart", F.expr(_APART))
+    return rows.withColumn("stated", F.timestamp_seconds(F.unix_timestamp("o_orderdate") - F.col("apart")))
+
+
+@query(
+    f"WITH p AS (SELECT {_PHRASES.format(text='VARCHAR')} AS phrase, o_custkey % 91 AS err FROM orders), s AS (SELECT *, regexp_matches(phrase, '^\\d+ (ngày|phút|năm) trước$') AS ok FROM p)"
+    " SELECT count(*) AS n_rows, count(*) FILTER (ok) AS n_supported, count(*) FILTER (ok AND err <= 60) AS n_matching, quantile_cont(err::DOUBLE, 0.5) FILTER (ok) AS median_seconds FROM s"
+)
+def cln28_relative_times(spark, d):
+    return profiling.relative_time_check(_phrased(spark, d), "phrase", "o_orderdate", "stated")
+
+
+@query(f"SELECT phrase, count(*) AS n FROM (SELECT {_PHRASES.format(text='VARCHAR')} AS phrase FROM orders) WHERE phrase IN ('hôm nay', 'đăng 2 ngày trước') GROUP BY 1")
+def cln28_unsupported_phrases(spark, d):
+    return profiling.unsupported_phrases(_phrased(spark, d), "phrase")
 
 
 @query("SELECT 'x' AS fold_check, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events)")

@@ -162,7 +162,26 @@ def test_reference_and_basis(spark):
 
 
 def test_property_type(spark):
-    assert values(spark, textrules.property_type, ["Bán căn hộ đẹp", "Bán biệt thự và căn hộ", "xyz", None]) == ["apartment", None, None, None]
+    cases = [
+        ("Bán nhà mặt tiền đường lớn", "Nhà", "STREET_HOUSE"), ("Bán nhà riêng", "Nhà", "HOUSE"), ("Bán nhà mặt phố, có ngõ sau", "Nhà", None), ("Bán căn hộ", "Nhà", None),
+        ("Bán nhà xưởng trong ngõ", "Nhà", None), ("Chưa bán nhà riêng", "Nhà", None), ("Bánh trong ngõ", "Nhà", None), ("Chuyển  nhượng liền kề", "Biệt thự/Nhà liền kề", "VILLA"),
+        ("Bán lô góc", "Đất", "LAND"), ("Bán đồng", "Đất", None), ("bán SHOPHOUSE", "Shophouse", "SHOPHOUSE"), ("Bán nhà riêng", None, None), (None, "Nhà", None), ("Bán nhà riêng", "khác", None),
+    ]
+    df = spark.createDataFrame(cases, "t string, s string, want string").withColumn("kind", textrules.property_type(F.col("t"), F.col("s")))
+    assert [r["kind"] for r in df.collect()] == [c[2] for c in cases]
+
+
+def test_relative_times(spark):
+    from datetime import datetime, timedelta
+
+    phrases = ["5 ngày trước", "2 giờ trước", "1 tháng trước", "đăng 5 ngày trước", "5 ngay trước", "hôm nay", None]
+    assert values(spark, text.phrase_seconds, phrases) == [432000, 7200, 2592000, None, None, None, None]
+    seen = datetime(2024, 5, 1, 12)
+    rows = [("5 ngày trước", seen, seen - timedelta(days=5, seconds=60)), ("2 giờ trước", seen, seen - timedelta(hours=2, seconds=61)), ("1 tuần trước", seen, None), ("mới", seen, seen)]
+    df = spark.createDataFrame(rows, "p string, seen timestamp, stated timestamp")
+    assert tuple(profiling.relative_time_check(df, "p", "seen", "stated").first()) == (4, 3, 1, 60.5)
+    assert tuple(profiling.relative_time_check(df.limit(0), "p", "seen", "stated").first()) == (0, 0, 0, None)
+    assert [tuple(r) for r in profiling.unsupported_phrases(df, "p").collect()] == [("mới", 1)]
 
 
 def test_merged_units(spark):
