@@ -2,13 +2,19 @@
 
 Each rule's cutoff comes from quantile sketches per language and source:
 partial sketches merge before the shuffle, so a hot source costs one small
-sketch per task. A fence lies three times the distance of the quartiles beyond
-them, so it holds while a quarter of a group is bad. The distance is at least
-the median of those of the language's groups and of all groups, as groups of
-copies have none of their own; quartiles are drawn to those of the language, and these to those of
-all rows, the more the fewer rows a group has. Metrics that count are granted
-``SLIPS`` occurrences beyond their fence, as one symbol in a text is no rate. No
-constant is in a metric's own unit. Built of DataFrame functions only.
+sketch per task. Mean word length has fences three times the distance of the
+quartiles beyond them. Rates have an upper fence only, and most texts of a group may
+have none of what is counted, so the sketch's upper quarter decides: the largest step
+between two of its ranks, in units of the spread below the step, parts the body of
+the group from its tail if it is more than three of them, and the fence lies three
+units above the body. The spread is at least the rate of one occurrence in the
+group's median text, and at least the median spread of the language's groups and of all
+groups, as groups of copies have none of their own. Values are drawn to those of the
+language, and these to those of all rows, the more the fewer rows a group has. A text
+breaks a rate's fence if its own rate, less the error of a count that small, lies
+above: the square root of a count has a standard error of a half, and three of
+these are granted. So long and short texts are judged alike, and no constant is in
+a metric's own unit or in occurrences. Built of DataFrame functions only.
 
 Defined results: null or empty texts have no words, fail the base rule and are
 dropped; null languages and sources are groups of their own; an empty table
@@ -29,7 +35,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 METRICS = ("symbol_ratio", "dup_line_ratio", "mean_word")
 RANKS = (0.25, 0.75)
-SLIPS = 3
+#: The median of a rate and the ranks at which its tail may begin: a quarter of a group may be bad.
+TAIL = (0.5, 0.75, 0.8, 0.85, 0.9, 0.925, 0.95, 0.975, 0.99, 0.995, 0.999)
 #: The count and the number of trials behind a metric that is a rate.
 RATES = {"symbol_ratio": ("n_symbols", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines")}
 
@@ -116,7 +123,7 @@ def measure(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFra
 
 
 def thresholds(measured: DataFrame, groups: tuple[str, ...] = ("lang", "source"), accuracy: int = 10000) -> DataFrame:
-    """The values of each metric at ``RANKS``, by (lang, source), by lang, and over all rows.
+    """The values of mean word length at ``RANKS`` and of each rate at ``TAIL``, and the median trials of rates, by (lang, source), by lang, and over all rows.
 
     ``percentile_approx`` keeps a mergeable sketch of at most about
     ``accuracy`` entries per group and task; the rank error is 1 / accuracy.
@@ -124,9 +131,10 @@ def thresholds(measured: DataFrame, groups: tuple[str, ...] = ("lang", "source")
     """
     lang, source = groups
     base = measured.filter(~F.col("base_failed")).select(
-        F.coalesce(F.col(lang), F.lit("")).alias("g_lang"), F.coalesce(F.col(source), F.lit("")).alias("g_source"), *METRICS
+        F.coalesce(F.col(lang), F.lit("")).alias("g_lang"), F.coalesce(F.col(source), F.lit("")).alias("g_source"), *METRICS, *[trials for _, trials in RATES.values()]
     )
-    ranks = [F.percentile_approx(m, list(RANKS), accuracy).alias(m) for m in METRICS]
+    ranks = [F.percentile_approx(m, list(TAIL if m in RATES else RANKS), accuracy).alias(m) for m in METRICS]
+    ranks += [F.percentile_approx(trials, 0.5, accuracy).alias(f"median_{trials}") for _, trials in RATES.values()]
     sets = base.groupingSets([["g_lang", "g_source"], ["g_lang"], []], "g_lang", "g_source")
     return sets.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("group_rows"), *ranks)
 
@@ -136,6 +144,20 @@ def spread(q: Column) -> Column:
     return F.struct(q[0].alias("low"), q[1].alias("high"), (q[1] - q[0]).alias("width"))
 
 
+def body(q: Column, trials: Column, fence: float) -> Column:
+    """struct(low, high, width) of a rate's body: its median, its upper edge, and the spread between, at least one occurrence in ``trials``.
+
+    The edge is where the largest step to the next rank is taken, measured in the
+    spread below it, if that is more than ``fence``, the lowest of equal ones; else the last rank.
+    """
+    one = 1.0 / F.greatest(trials, F.lit(1))
+    width = lambda i: F.greatest(q[i] - q[0], one)
+    last = len(TAIL) - 1
+    steps = F.array(*[F.struct(((q[i + 1] - q[i]) / width(i)).alias("step"), F.lit(-i).alias("i")) for i in range(1, last)])
+    edge = let(F.array_max(steps), lambda s: F.when(s["step"] > fence, -s["i"]).otherwise(last))
+    return let(edge, lambda i: F.struct(q[0].alias("low"), F.get(q, i).alias("high"), F.greatest(F.get(q, i) - q[0], one).alias("width")))
+
+
 def _drawn(own: Column, wider: Column, rows: Column, weight: float) -> Column:
     """``own`` moved to ``wider`` as if ``weight`` rows of the latter had been seen too; the larger width; ``wider`` where there is no own."""
     share = rows / (rows + F.lit(weight))
@@ -153,7 +175,8 @@ def adaptive_verdict(
 ) -> DataFrame:
     """``keys``, the base counts, ``base_failed`` and ``kept`` of each row.
 
-    A text is kept if it passes the base rule and stays within its group's
+    ``fence`` counts widths of a group beyond its edges, and standard errors of a
+    text's own counts. A text is kept if it passes the base rule and stays within its group's
     fences: symbols per word and share of repeated lines from above, mean word
     length from both sides. Thresholds are broadcast if they are small, and
     joined by shuffle beyond.
@@ -163,16 +186,18 @@ def adaptive_verdict(
     measured = materialize(measure(docs, keep, text_col), "measured")
     table = materialize(thresholds(measured, groups), "thresholds")
     # the median width of groups, of a language and of all: sketches over one row per group
-    widths = table.filter("level = 0").select("g_lang", *[(F.col(m)[1] - F.col(m)[0]).alias(m) for m in METRICS])
+    own = lambda m: body(F.col(m), F.col(f"median_{RATES[m][1]}"), fence) if m in RATES else spread(F.col(m))
+    table = materialize(table.withColumns({m: own(m) for m in METRICS}), "spreads")
+    widths = table.filter("level = 0").select("g_lang", *[F.col(f"{m}.width").alias(m) for m in METRICS])
     medians = [F.percentile_approx(m, 0.5, 10000).alias(f"width_{m}") for m in METRICS]
     of_lang, of_all = widths.groupBy(F.col("g_lang").alias("w_lang")).agg(*medians), widths.agg(*medians)
-    usual = lambda m: F.struct(F.col(m)[0].alias("low"), F.col(m)[1].alias("high"), F.col(f"width_{m}").alias("width"))
+    usual = lambda m: F.struct(F.col(f"{m}.low"), F.col(f"{m}.high"), F.col(f"width_{m}").alias("width"))
     everything = table.filter("level = 3").crossJoin(F.broadcast(of_all)).select(*[usual(m).alias(f"all_{m}") for m in METRICS])  # one row each
     by_lang = table.filter("level = 1").crossJoin(F.broadcast(everything))  # one row
     by_lang = by_lang.join(of_lang, F.col("g_lang") == F.col("w_lang"))
     by_lang = by_lang.select(F.col("g_lang").alias("l_lang"), *[_drawn(usual(m), F.col(f"all_{m}"), F.col("group_rows"), weight).alias(f"l_{m}") for m in METRICS])
     by_group = table.filter("level = 0").join(by_lang, F.col("g_lang") == F.col("l_lang"))
-    drawn = {m: _drawn(spread(F.col(m)), F.col(f"l_{m}"), F.col("group_rows"), weight) for m in METRICS}
+    drawn = {m: _drawn(F.col(m), F.col(f"l_{m}"), F.col("group_rows"), weight) for m in METRICS}
     by_group = by_group.select("g_lang", "g_source", *[c for m, x in drawn.items() for c in ((x["low"] - fence * x["width"]).alias(f"low_{m}"), (x["high"] + fence * x["width"]).alias(f"high_{m}"))])
     by_group = size_checked(materialize(by_group, "fences"))
     same = (F.coalesce(measured[lang], F.lit("")) == by_group["g_lang"]) & (F.coalesce(measured[source], F.lit("")) == by_group["g_source"])
@@ -181,7 +206,8 @@ def adaptive_verdict(
     for m in METRICS:
         if m in RATES:
             count, trials = RATES[m]
-            inside = F.col(count) <= F.col(f"high_{m}") * F.col(trials) + F.lit(float(SLIPS))
+            surely = F.pow(F.greatest(F.sqrt(count) - F.lit(fence / 2), F.lit(0.0)), F.lit(2.0))
+            inside = surely <= F.col(f"high_{m}") * F.col(trials)
         else:
             inside = F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}"))
         fine = fine & F.coalesce(inside, F.lit(True))

@@ -97,22 +97,28 @@ w AS (
 
 
 def _sql6() -> str:
-    metrics, ranks, lang, source = ("symbol_ratio", "dup_line_ratio", "mean_word"), (0.25, 0.75), "coalesce(lang, '')", "coalesce(source, '')"
+    metrics, lang, source = ("symbol_ratio", "dup_line_ratio", "mean_word"), "coalesce(lang, '')", "coalesce(source, '')"
+    trials = {"symbol_ratio": "n_words", "dup_line_ratio": "n_lines"}
+    tail = (0.5, 0.75, 0.8, 0.85, 0.9, 0.925, 0.95, 0.975, 0.99, 0.995, 0.999)
     keys = {"g": {"k_lang": lang, "k_source": source}, "l": {"k_lang": lang}, "a": {}}
     parts = []
     for name, by in keys.items():
         # the value at rank ceil(q * n) of each group, as the sketch returns it while it holds every value
         over = f"PARTITION BY {', '.join(by.values())}" if by else ""
-        ranked = ", ".join(f"row_number() OVER ({over} ORDER BY {m}) AS r_{m}, count({m}) OVER ({over}) AS n_{m}" for m in metrics)
-        pick = lambda m, q: f"max({m}) FILTER (r_{m} = greatest(1, ceil({q} * n_{m})))"
-        picks = ", ".join(f"{pick(m, q)} AS {m}_{i}" for m in metrics for i, q in enumerate(ranks))
+        ranked = ", ".join(f"row_number() OVER ({over} ORDER BY {m}) AS r_{m}, count({m}) OVER ({over}) AS n_{m}" for m in (*metrics, *trials.values()))
+        pick = lambda m, q: f"max({m}) FILTER (r_{m} = greatest(1, ceil({q}::DOUBLE * n_{m})))"
+        picks = ", ".join(f"[{', '.join(pick(m, q) for q in tail)}] AS {m}_q, 1.0::DOUBLE / greatest({pick(t, 0.5)}, 1) AS {m}_one" for m, t in trials.items())
+        picks += f", {pick('mean_word', 0.25)} AS mean_word_0, {pick('mean_word', 0.75)} AS mean_word_1"
+        steps = ", ".join(f"[({m}_q[i + 1] - {m}_q[i]) / greatest({m}_q[i] - {m}_q[1], {m}_one) for i in range(2, {len(tail)})] AS {m}_s" for m in trials)
+        edges = ", ".join(f"{m}_q[CASE WHEN list_max({m}_s) > 3 THEN list_position({m}_s, list_max({m}_s)) + 1 ELSE {len(tail)} END] AS {m}_e" for m in trials)
         named = "".join(f"{expr} AS {k}, " for k, expr in by.items())
-        sides = ", ".join(f"{m}_0 AS {name}_low_{m}, {m}_1 AS {name}_high_{m}, {m}_1 - {m}_0 AS {name}_w_{m}" for m in metrics)
+        sides = ", ".join(f"{m}_e AS {name}_high_{m}, greatest({m}_e - {m}_q[1], {m}_one) AS {name}_w_{m}" for m in trials)
+        sides += f", mean_word_0 AS {name}_low_mean_word, mean_word_1 AS {name}_high_mean_word, mean_word_1 - mean_word_0 AS {name}_w_mean_word"
         kept = "".join(f"{k}, " for k in by)
         parts.append(
             f"{name}_r AS (SELECT *, {ranked} FROM b WHERE NOT base_failed), "
             f"{name}_p AS (SELECT {named}CAST(count(*) AS DOUBLE) AS {name}_n, {picks} FROM {name}_r GROUP BY ALL), "
-            f"{name}_q AS (SELECT {kept}{name}_n, {sides} FROM {name}_p)"
+            f"{name}_q AS (SELECT {kept}{name}_n, {sides} FROM (SELECT *, {edges} FROM (SELECT *, {steps} FROM {name}_p)))"
         )
     for name, by in (("lw", "PARTITION BY k_lang"), ("aw", "")):
         ranked = ", ".join(f"g_w_{m}, row_number() OVER ({by} ORDER BY g_w_{m}) AS r_{m}" for m in metrics)
@@ -124,8 +130,7 @@ def _sql6() -> str:
         quartile = lambda k: drawn(f"g_{k}_{m}", drawn(f"l_{k}_{m}", f"a_{k}_{m}", "l_n"), "g_n")  # noqa: B023, E731
         width = f"3.0::DOUBLE * greatest(g_w_{m}, lw.l_w_{m}, aw.a_w_{m})"
         count = {"symbol_ratio": "n_symbols", "dup_line_ratio": "n_dup_lines"}.get(m)
-        trials = {"symbol_ratio": "n_words", "dup_line_ratio": "n_lines"}.get(m)
-        inside = f"{count} <= ({quartile('high')} + {width}) * {trials} + 3.0::DOUBLE" if count else f"{m} BETWEEN {quartile('low')} - {width} AND {quartile('high')} + {width}"
+        inside = f"pow(greatest(sqrt({count}) - 1.5::DOUBLE, 0), 2) <= ({quartile('high')} + {width}) * {trials[m]}" if count else f"{m} BETWEEN {quartile('low')} - {width} AND {quartile('high')} + {width}"
         checks.append(f"(g_n IS NULL OR coalesce({inside}, true))")
     return f"""
 WITH {_SQL6_MEASURED}, {", ".join(parts)}

@@ -182,6 +182,46 @@ def test_adaptive_thresholds_follow_the_group(spark):
     assert sorted(r["doc_id"] for r in adaptive_rules.keep_passing(docs).collect()) == sorted(d for d in kept if d != 900)
 
 
+def marked(i, words, symbols):
+    """A text of so many words, the first of which carry the symbols."""
+    return " ".join(f"tok{'a' * (i % 4)}{i}x{k}{'#' * (symbols // words + (k < symbols % words))}" for k in range(words))
+
+
+def test_symbol_fences_follow_groups_that_mostly_have_none(spark):
+    """Three quarters of neither group hold a symbol below the median; their upper sketches differ, and so do their fences."""
+    rows = [(i, "en", "plain", marked(i, 40, i % 5 == 0)) for i in range(1000, 1300)]  # a fifth of one symbol
+    rows += [(i, "en", "plain", marked(i, 40, 60)) for i in range(1300, 1310)]  # junk
+    rows += [(i, "en", "code", marked(i, 40, 20 if i % 10 < 3 else 0)) for i in range(2000, 2300)]  # three tenths of twenty
+    rows += [(3000, "en", "plain", marked(3000, 40, 20)), (3001, "en", "code", marked(3001, 40, 20))]
+    rows += [(3002, "en", "plain", marked(3002, 4000, 60)), (3003, "en", "plain", marked(3003, 12, 1)), (3004, "en", "plain", marked(3004, 12, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").repartition(3)
+    kept = {r["doc_id"]: r["kept"] for r in adaptive_rules.adaptive_verdict(docs).collect()}
+    assert not kept[3000] and kept[3001]  # the same text, by its group
+    assert kept[3002] and kept[3003] and not kept[3004]  # few for its length; one is no rate; many
+    assert all(kept[i] for i in range(1000, 1300)) and all(kept[i] for i in range(2000, 2300))
+    assert not any(kept[i] for i in range(1300, 1310))
+
+
+def test_body_of_a_rate(spark):
+    """The edge lies below the largest step in units of the spread below it, or at the last rank."""
+    ranks = len(adaptive_rules.TAIL)
+
+    def brute(q, trials):
+        width = lambda i: max(q[i] - q[0], 1 / max(trials, 1))
+        step, i = max(((q[i + 1] - q[i]) / width(i), -i) for i in range(1, ranks - 1))
+        edge = -i if step > 3.0 else ranks - 1
+        return q[0], q[edge], width(edge)
+
+    import random
+
+    r = random.Random(6)
+    rows = [([0.0] * ranks, 40), ([1.0] * ranks, 1), ([0.0] * 5 + [1.0] * (ranks - 5), 400), ([0.0, 0.001] + [0.002] * (ranks - 2), 400), ([0.0] * (ranks - 1) + [9.0], 0)]
+    rows += [(sorted(r.choice([0.0, r.random() ** 4]) for _ in range(ranks)), r.randrange(1, 500)) for _ in range(60)]
+    df = spark.createDataFrame(rows, "q array<double>, t long")
+    got = df.select(adaptive_rules.body(F.col("q"), F.col("t"), 3.0).alias("b")).select("b.*").collect()
+    assert [tuple(x) for x in got] == [brute(q, t) for q, t in rows]
+
+
 # ---- op7
 
 
