@@ -552,6 +552,41 @@ def test_all_lines_under_a_key_are_compared(spark):
     assert [tuple(r) for r in fuzzy_lines.pairs_across(dealt, sketches, 0.85).collect()] == [(7, 9)]
 
 
+def test_runs_that_lines_of_their_lengths_share(spark):
+    """Lines of 200 words list 117 runs, and 30 edits spoil 90 at most: 26 common ones are too few."""
+    rows = [(key, h, 200, False, h) for n, a, b in ((27, 1, 2), (26, 3, 4)) for key in range(1000 * a, 1000 * a + n) for h in (a, b)]
+    # of a whole line all runs are listed, so the other's list decides; of two such lines one run does
+    rows += [(key, h, 200, h == 5, h) for key in range(5000, 5027) for h in (5, 6)] + [(7000, h, 200, True, h) for h in (7, 8)]
+    shared = spark.createDataFrame(rows, "key long, h long, n_words int, whole boolean, component long")
+    assert sorted(tuple(r) for r in fuzzy_lines.runs_across(shared, 0.85).collect()) == [(1, 2), (5, 6), (7, 8)]
+
+
+def test_letters_of_short_lines_come_first(spark):
+    """Two lines under one key whose sketches agree, but whose letters differ by more than the edits allowed."""
+    dealt = spark.createDataFrame([(fuzzy_lines.PAIR_KEYS + 1, h, 0, 20, h) for h in (1, 2, 3)], "key long, h long, sim long, chars int, component long")
+    lines = spark.createDataFrame([(1, "eeee eeee eeee eeee "), (2, "eeee eeee eeee eeex "), (3, "aaaa aaaa aaaa aaaa ")], "h long, norm string")
+    lines = lines.select("h", F.array(F.lit(1), F.lit(2)).alias("sketch"), fuzzy_lines.letter_counts(F.col("norm")).alias("letters"))
+    assert [tuple(r) for r in fuzzy_lines.pairs_across(dealt, lines, 0.85).collect()] == [(1, 2)]
+    assert spark.range(1).select(fuzzy_lines.letter_counts(F.lit("e" * 129))).first()[0] is None
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def left():
+        files = manager.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, were = left(), spark.conf.get(setting)
+    fuzzy_lines.duplicate_lines(frame(spark, documents())).collect()
+    until = time.time() + 20
+    while left() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not left() - before
+    assert spark.conf.get(setting) == were
+
+
 def test_letter_counts_are_a_bound(spark):
     rng = np.random.default_rng(15)
     line = lambda n: "".join("aeiost xyzé"[i] for i in rng.integers(0, 11, n))
