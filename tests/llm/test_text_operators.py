@@ -561,6 +561,32 @@ def test_runs_that_lines_of_their_lengths_share(spark):
     assert sorted(tuple(r) for r in fuzzy_lines.runs_across(shared, 0.85).collect()) == [(1, 2), (5, 6), (7, 8)]
 
 
+def test_a_passage_of_many_lines_is_listed_last(spark):
+    """Lines of their own words about one long passage list no run of it; a line that an edit away repeats one of them is found."""
+    rng = np.random.default_rng(21)
+    words = lambda n: ["".join("abcdefghijklmnopqrstuvwxyz"[i] for i in rng.integers(0, 26, 7)) for _ in range(n)]
+    passage = words(70)
+    lines = [words(65) + passage + words(65) for _ in range(40)]
+    lines.append(["changed" if k % 9 == 4 else w for k, w in enumerate(lines[3])])
+    docs = spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate(lines)], "doc_id long, text string")
+    distinct = fuzzy_lines.sketched_lines(docs, "doc_id", "text")
+    shared = fuzzy_lines.shared_runs(distinct, 0.85)
+    ids = {r["h"]: r["doc_id"] for r in distinct.collect()}
+    assert {ids[r["h"]] for r in shared.collect()} == {3, 40}
+    pairs = fuzzy_lines.runs_across(shared.drop("n1").withColumn("component", F.col("h")), 0.85).collect()
+    assert [{ids[r["a"]], ids[r["b"]]} for r in pairs] == [{3, 40}]
+    assert [tuple(r) for r in fuzzy_lines.duplicate_lines(docs).collect()] == [(40, 0)]
+
+
+def test_a_line_meets_others_under_each_key(spark):
+    """Under 12 keys that 30 lines share, the order of the SimHashes alone gives 29 pairs."""
+    rows = [(fuzzy_lines.PAIR_KEYS + key, h, h, 100) for key in range(12) for h in range(30)]
+    none = spark.createDataFrame([], "hot long")
+    seen = fuzzy_lines.neighbours(spark.createDataFrame(rows, "key long, h long, sim long, chars int"), none, 0.85)
+    assert fuzzy_lines._ordered(seen, "n1").count() == 29
+    assert fuzzy_lines._ordered(seen, "n1", "n2").count() > 150
+
+
 def test_letters_of_short_lines_come_first(spark):
     """Two lines under one key whose sketches agree, but whose letters differ by more than the edits allowed."""
     dealt = spark.createDataFrame([(fuzzy_lines.PAIR_KEYS + 1, h, 0, 20, h) for h in (1, 2, 3)], "key long, h long, sim long, chars int, component long")
