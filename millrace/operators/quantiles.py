@@ -83,7 +83,8 @@ def _select(rows: DataFrame, sizes: DataFrame, keys: list[str], points: list[flo
     ranks = written(sizes.select(*keys, "n", wanted.alias("w")).select(*keys, "n", "w.*"), "ranks")
     sketch = join_keys(rows, sizes.select(*keys), keys, small=True).groupBy(*keys).agg(_grid().alias("g")) if keys else rows.agg(_grid().alias("g"))
     low, high = _around(F.col("g"), F.col("first") / F.col("n"), F.col("last") / F.col("n"))
-    first = join_keys(ranks, sketch, keys).select(*ranks.columns, low.alias("lower"), high.alias("upper"))
+    # written, as a sketch that is merged anew in another order gives other brackets than those whose rows were counted
+    first = written(join_keys(ranks, sketch, keys).select(*ranks.columns, low.alias("lower"), high.alias("upper")), "brackets")
     brackets = written(_checked(_counted(rows, first, keys)), "brackets")
     for _ in range(ROUNDS):
         todo = (F.col("missed") | (F.col("inside") > limit)) & ~F.col("lower").eqNullSafe(F.col("upper"))
@@ -95,7 +96,7 @@ def _select(rows: DataFrame, sizes: DataFrame, keys: list[str], points: list[flo
         inner = _inside(rows, open_, keys).groupBy(*keys, "j").agg(_grid().alias("g"))
         share = lambda c: (F.col(c) - F.col("below")) / F.col("inside")
         low, high = _around(F.col("g"), share("first"), share("last"))
-        narrowed = join_keys(open_, inner, [*keys, "j"]).select(*ranks.columns, F.greatest("lower", low).alias("lower"), F.least("upper", high).alias("upper"))
+        narrowed = written(join_keys(open_, inner, [*keys, "j"]).select(*ranks.columns, F.greatest("lower", low).alias("lower"), F.least("upper", high).alias("upper")), "brackets")
         brackets = written(brackets.filter(~todo).unionByName(_checked(_counted(rows, narrowed, keys)).select(*brackets.columns)), "brackets")
     if brackets.filter("missed").limit(1).count():
         brackets = written(_counted(rows, brackets.drop("below", "inside", "missed"), keys), "brackets")

@@ -75,6 +75,21 @@ def test_rounds_that_never_hit_still_give_the_values(table, monkeypatch):
     assert np.allclose(got, np.quantile(values, [0.25, 0.75]), rtol=1e-12)
 
 
+def test_sketches_that_differ_from_run_to_run_give_the_same_values(table, monkeypatch):
+    """Merged in another order, a sketch has other values; what was counted must be the bracket that is kept."""
+    shaken, real = F.udf(lambda v, down: v + down * random.Random().random() * 0.02, "double").asNondeterministic(), quantiles._around
+
+    def around(grid, first, last):
+        low, high = real(grid, first, last)
+        return shaken(low, F.lit(-1.0)), shaken(high, F.lit(1.0))
+
+    monkeypatch.setattr(quantiles, "_around", around)
+    values = [r[2] for r in groups() if r[0] == "even" and r[2] is not None]
+    for limit in (200, 2000):  # narrowed once more, and not
+        got = quantiles.exact_quantiles(table.filter("g = 'even'"), ["g"], "v", [0.25, 0.5, 0.75], limit=limit).collect()[0]["q"]
+        assert np.allclose(got, np.quantile(values, [0.25, 0.5, 0.75]), rtol=1e-12)
+
+
 def test_no_rows(spark, table):
     empty = table.filter("false")
     assert quantiles.exact_quantiles(empty, ["g"], "v", [0.5]).collect() == [] and quantiles.exact_quantiles(empty, [], "v", [0.5]).collect() == []
