@@ -158,8 +158,8 @@ class Neighbours:
 
         width = self.rows.select(F.size(vector_to_array("features"))).first()[0]
         flat = lambda df, *more: df.select("row_key", *more, *[vector_to_array("features")[i].alias(f"x{i}") for i in range(width)])
-        found = neighbours.nearest(flat(self.rows, "label"), flat(rows), "row_key", [f"x{i}" for i in range(width)], "label", self.k)
-        said = neighbours.vote(found) if self.task == "classification" else neighbours.average(found)
+        say = neighbours.vote if self.task == "classification" else neighbours.average
+        said = neighbours.predicted(flat(self.rows, "label"), flat(rows), "row_key", [f"x{i}" for i in range(width)], "label", say, self.k)
         return rows.join(said.withColumnRenamed("query", "row_key"), "row_key")
 
 
@@ -268,5 +268,5 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, key: str, columns:
     """
     own = train.select(*columns, F.col(label).cast("string").alias("label")).withColumn(key, F.monotonically_increasing_id())
     source = train.select(key, *columns, F.col(label).cast("string").alias("label")) if key in train.columns else written(own, "training-rows")
-    found = neighbours.nearest(source, queries.select(key, *columns), key, columns, "label", k)
-    return neighbours.vote(found).select(F.col("query").alias(key), F.col("prediction").alias("label"))
+    said = neighbours.predicted(source, queries.select(key, *columns), key, columns, "label", neighbours.vote, k)
+    return said.select(F.col("query").alias(key), F.col("prediction").alias("label"))

@@ -36,6 +36,26 @@ def test_neighbours_equal_brute_force(spark, pivots, block):
     assert got == brute(train, queries, 5)
 
 
+@pytest.mark.parametrize("leaf", [2, 9])
+def test_boxes_equal_brute_force(spark, leaf):
+    """Boxes that are left out hold no neighbour; ties at the same distance go to the smaller key."""
+    train = rows(150, 5) + [(500 + i, float(i % 4), 1.0, "grid") for i in range(40)] + [(600, -0.0, 0.0, "zero"), (601, 0.0, -0.0, "zero")]
+    queries = [(i, x, y) for i, x, y, _ in rows(50, 6)] + [(700 + i, float(i % 5), 1.0) for i in range(20)] + [(800, -0.0, -0.0), (801, 0.0, 0.0)]
+    got = sorted((r["query"], r["key"], round(r["distance"], 9), r["label"], r["rank"]) for r in found(spark, train, queries, 6, pivots=3, leaf=leaf).collect())
+    assert got == brute(train, queries, 6)
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    """Of equal training rows k go on, and of equal queries one."""
+    sent, real = [], neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df, label: sent.append((label, real(df, label))) or sent[-1][1])
+    train = [(i, float(i % 3), 0.0, "ab"[i % 2]) for i in range(600)]
+    queries = [(i, float(i % 4), 0.0) for i in range(400)]
+    got = sorted((r["query"], r["key"], round(r["distance"], 9), r["label"], r["rank"]) for r in found(spark, train, queries, 5).collect())
+    sizes = {label: df.count() for label, df in sent}
+    assert got == brute(train, queries, 5) and sizes["training-rows"] == 15 and sizes["points"] == 4
+
+
 def test_fewer_rows_than_neighbours_and_none(spark):
     train, queries = rows(3, 4), [(7, 0.0, 0.0)]
     assert sorted((r["key"], r["rank"]) for r in found(spark, train, queries, 5).collect()) == sorted((b[1], b[4]) for b in brute(train, queries, 5))
