@@ -596,6 +596,26 @@ def test_letters_of_short_lines_come_first(spark):
     assert spark.range(1).select(fuzzy_lines.letter_counts(F.lit("e" * 129))).first()[0] is None
 
 
+def test_characters_of_words_are_a_bound(spark):
+    """Words that share a character show fewer edits, never more, and the verdict stays that of the words."""
+    rng = random.Random(7)
+    vocabulary = [f"word{i}" for i in range(900)]
+    pairs = []
+    for changed in (0, 10, 19, 20, 21, 22, 23, 24, 30, 60, 150):
+        for _ in range(4):
+            x = rng.choices(vocabulary, k=150)
+            y = list(x)
+            for at in rng.sample(range(150), changed):
+                y[at] = rng.choice(vocabulary)
+            pairs.append((" ".join(x), " ".join(y[rng.randrange(3) :])))
+    a, b = F.col("a"), F.col("b")
+    shown = F.levenshtein(*[fuzzy_lines._characters(F.split(c, " ")) for c in (a, b)])
+    for r in spark.createDataFrame(pairs, "a string, b string").select("*", shown.alias("shown"), fuzzy_lines._similar(a, b, 0.85).alias("similar")).collect():
+        x, y = r["a"].split(), r["b"].split()
+        edits = edit_distance(x, y)
+        assert r["shown"] <= edits and r["similar"] == (edits <= int(max(len(x), len(y)) * 0.15 + 1e-9))
+
+
 def test_shuffle_files_go_with_their_query(spark):
     manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
