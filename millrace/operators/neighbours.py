@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from millrace.storage import written
 
 #: At most so many pivots, one of about so many different rows; rows of either side in a block.
-PIVOTS, PER_PIVOT, BLOCK, LEAF = 1024, 64, 4096, 64
+PIVOTS, PER_PIVOT, BLOCK, LEAF = 256, 64, 4096, 64
 #: Numbers that one block of differences may hold.
 ROOM = 1 << 22
 
